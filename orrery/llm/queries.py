@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,41 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.chat import format_conversations
+
+    extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return format_conversations(turns).select("conv_id", "formatted", "loss").mapInArrow(_read_back, kinds)
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of formatted conversations, from the formatted text and its loss ranges."""
+    from orrery.llm.chat import parse_turns, unescape
+
+    for batch in batches:
+        rows = []
+        for conv, text, loss in zip(*(c.to_pylist() for c in batch.columns)):
+            turns = parse_turns(text)
+            learned = "".join(unescape(text[x["start"] : x["end"]]) for x in loss)
+            whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+            rows.append((conv, len(turns), sha256(whole.encode()).hexdigest(), len(learned), sha256(learned.encode()).hexdigest(), len(text)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_topk": op2_topk,
+    "op9_chat": op9_chat,
 }
 
 ORACLES: dict[str, str] = {}
