@@ -32,6 +32,13 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.media import read_media, sound_features, store_media
+
+    files, chunks = store_media(table(spark, sf_dir, "documents"))
+    return read_media(files, chunks, sound_features).withColumn("tail_crc32", F.crc32("tail")).drop("tail")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.chat import format_conversations
 
@@ -59,6 +66,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_topk": op2_topk,
+    "op6_media": op6_media,
     "op9_chat": op9_chat,
 }
 
