@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -107,14 +108,28 @@ def _bit(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") % BITS
 
 
-def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Store every text as a media file; returns (files, shared chunks).
+@dataclass
+class MediaStore:
+    """A table of files and the chunks that they share.
 
     files: row (of this table, unique), doc_id, n_bytes, media_bytes,
     media_sha256, refs (the digests of the file's chunks that are in the chunk
     table, with their places), inline (the other chunks with theirs,
-    compressed). Chunks: digest, chunk (compressed).
+    compressed). given: digest, shard (the task that wrote it), chunk
+    (compressed); owner: the shard whose copy of a digest counts.
     """
+
+    files: DataFrame
+    given: DataFrame
+    owner: DataFrame
+
+    def chunks(self) -> DataFrame:
+        """The chunk table, one row per digest."""
+        return self.given.join(self.owner, ["digest", "shard"]).select("digest", "chunk")
+
+
+def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> MediaStore:
+    """Store every text as a media file."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +182,10 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     files = written.filter(F.col("digest").isNull()).drop("digest", "chunk")
     given = written.filter(F.col("digest").isNotNull()).select("digest", F.col("row").alias("shard"), "chunk")
     owner = staged(given.groupBy("digest").agg(F.min("shard").alias("shard")), "media-owner")
-    return files, given.join(owner, ["digest", "shard"]).select("digest", "chunk")
+    return MediaStore(files, given, owner)
 
 
-def read_media(files: DataFrame, chunks: DataFrame, features=None) -> DataFrame:
+def read_media(store: MediaStore, features=None) -> DataFrame:
     """Rebuild stored files from their ordered chunk lists and verify them.
 
     Columns: doc_id, n_bytes, media_bytes, media_sha256 (verified against the
@@ -178,8 +193,10 @@ def read_media(files: DataFrame, chunks: DataFrame, features=None) -> DataFrame:
     payload_sha256, tail (the last 64) and feature (``features`` of the
     samples). Without ``features`` also media, the rebuilt file itself.
     """
+    files = store.files
     refs = files.filter(F.size("refs") > 0).select("row", F.explode("refs").alias("r")).select("row", "r.seq", "r.digest")
-    borrowed = refs.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("seq", "chunk")).alias("lent"))
+    # the small rows meet first, so that chunks move once
+    borrowed = refs.join(store.owner, "digest").join(store.given, ["digest", "shard"]).groupBy("row").agg(F.collect_list(F.struct("seq", "chunk")).alias("lent"))
     none = F.lit(None).cast("array<struct<seq:int,chunk:binary>>")
     rows = files.filter(F.size("refs") == 0).withColumn("lent", none).unionByName(files.filter(F.size("refs") > 0).join(borrowed, "row", "left"))
     whole = features is None

@@ -35,8 +35,14 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.media import read_media, sound_features, store_media
 
-    files, chunks = store_media(table(spark, sf_dir, "documents"))
-    return read_media(files, chunks, sound_features).withColumn("tail_crc32", F.crc32("tail")).drop("tail")
+    return read_media(store_media(table(spark, sf_dir, "documents")), sound_features).withColumn("tail_crc32", F.crc32("tail")).drop("tail")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +54,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(turns).select("conv_id", "formatted", "loss").mapInArrow(_read_back, kinds)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "offences")
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of formatted conversations, from the formatted text and its loss ranges."""
     from orrery.llm.chat import parse_turns, unescape
@@ -67,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_topk": op2_topk,
     "op6_media": op6_media,
+    "op8_quality": op8_quality,
     "op9_chat": op9_chat,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

@@ -31,9 +31,10 @@ def test_store_and_read(spark):
     long = "".join(rnd.choice("abcdefgh ") for _ in range(50_000))
     texts = [None, "", "short é😀", long, long, long[:20_000] + "changed" + long[20_000:], "x" * 64, "y" * 40_000]
     docs = spark.createDataFrame([(i % 7, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, digest string").repartition(3)
-    files, chunks = store_media(docs)
+    store = store_media(docs)
+    chunks = store.chunks()
     assert chunks.count() == chunks.select("digest").distinct().count()
-    got = sorted((r["doc_id"], r["n_bytes"], r["payload_sha256"], zlib.crc32(r["tail"]), r["media"]) for r in read_media(files, chunks).collect())
+    got = sorted((r["doc_id"], r["n_bytes"], r["payload_sha256"], zlib.crc32(r["tail"]), r["media"]) for r in read_media(store).collect())
     want = []
     for i, t in enumerate(texts):
         p = padded((t or "").encode())
@@ -42,7 +43,6 @@ def test_store_and_read(spark):
     assert all(hashlib.sha256(wave_samples(g[4])).hexdigest() == g[2] for g in got)
     stored = chunks.selectExpr("sum(length(chunk))").first()[0]
     assert stored > 0
-    few = read_media(files, chunks, sound_features).collect()
+    few = read_media(store, sound_features).collect()
     assert len({(r["payload_sha256"], r["feature"]) for r in few}) == len({r["payload_sha256"] for r in few})
-    f, c = store_media(docs.limit(0))
-    assert read_media(f, c, sound_features).count() == 0
+    assert read_media(store_media(docs.limit(0)), sound_features).count() == 0
