@@ -32,12 +32,27 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.substrings import dedup_substrings
+
+    done = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.media import read_media, sound_features, store_media
 
     return read_media(store_media(table(spark, sf_dir, "documents")), sound_features).withColumn("tail_crc32", F.crc32("tail")).drop("tail")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.suffixes import dedup_suffixes
+
+    done = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.quality import fit_quality, score_quality
 
@@ -79,7 +94,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_topk": op2_topk,
+    "op3_substrings": op3_substrings,
     "op6_media": op6_media,
+    "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
