@@ -40,6 +40,13 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.neardup import near_duplicates
+
+    done = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
+    return done.select("doc_id", "class_id", "class_size", "keep")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.media import read_media, sound_features, store_media
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
+    "op5_neardup": op5_neardup,
     "op6_media": op6_media,
     "op7_suffixes": op7_suffixes,
     "op8_quality": op8_quality,

@@ -12,8 +12,8 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.
 
 Defined results: a null text has no words; windows never cross texts; repeated
 rows match each other; texts of fewer words than ``length`` stay whole (their
-words joined by one space); an empty table gives an empty result. Columns named
-_row, _hit or found are reserved.
+words joined by one space); an empty table gives an empty result. Columns
+of the names made here (and those in ``windows.RESERVED``) are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from orrery.llm.suffixes import BYTE_VALUES
-from orrery.llm.windows import Alphabet, Hasher, covered, mix, repeated_windows, with_marks
+from orrery.llm.windows import RESERVED, Alphabet, Hasher, covered, mix, repeated_windows, with_marks
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -139,6 +139,8 @@ def dedup_substrings(docs: DataFrame, length: int = 35, *, text_col: str = "text
     The columns of ``docs``, with kept words joined by one space as the text,
     and n_words and removed (spans as (start, end) of words).
     """
+    docs = docs.drop("n_words", "removed", *RESERVED)
+
     def resolve(contents: list[np.ndarray]) -> list[np.ndarray]:
         return resolve_words(contents, length)
 
@@ -165,8 +167,5 @@ def dedup_substrings(docs: DataFrame, length: int = 35, *, text_col: str = "text
                 cols[at] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(removed, spans)], [*names, "n_words", "removed"])
 
-    clash = [c for c in names if c in ("n_words", "removed")]
-    if clash:
-        raise ValueError(f"columns {clash} are made here; rename them first")
     schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "n_words long, removed array<struct<start:bigint,end:bigint>>"])
     return with_marks(texts, marks).select(*names, "found").mapInArrow(finish, schema)

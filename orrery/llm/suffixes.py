@@ -8,12 +8,13 @@ later matches. Only matches of the whole ``length`` count, so the arrays are
 needed up to that length: suffixes that agree so far form a run, in which,
 ordered by position, the neighbours are those positions.
 
-``keep="first"`` removes later copies and keeps the first; ``keep="none"``
-removes every copy.
+Every copy is removed, the first included: whether a byte goes depends on the
+strings that there are, not on the order of the rows.
 
 Defined results: a null text has no bytes; matches never cross texts; repeated
 rows match each other; texts shorter than ``length`` stay whole; an empty table
-gives an empty result. Columns named _row, _hit or found are reserved.
+gives an empty result. Columns of the names made here (and those in
+``windows.RESERVED``) are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orrery.llm.windows import Alphabet, covered, mix, repeated_windows, with_marks
+from orrery.llm.windows import RESERVED, Alphabet, covered, mix, repeated_windows, with_marks
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -80,6 +81,8 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, *, text_col: str = "text"
     The columns of ``docs`` but the text, and n_bytes, kept (the bytes that
     stay), removed (spans as (start, end) of bytes).
     """
+    docs = docs.drop("n_bytes", "kept", "removed", *RESERVED)
+
     def resolve(contents: list[np.ndarray]) -> list[np.ndarray]:
         return resolve_suffixes(contents, length)
 

@@ -42,6 +42,8 @@ RUN = 512
 POSITION_BITS = 28
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Columns of these names can't pass through.
+RESERVED = ("_row", "_hit", "_gram", "_content", "_lo", "_windows", "_inner", "_held", "found")
 _powers: list[np.ndarray] = []
 
 

@@ -44,7 +44,7 @@ def corpus(rnd, n=60):
 def test_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(windows, "GROUP", group)
     texts = corpus(random.Random(group))
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(3)
+    docs = spark.createDataFrame([(i, t, "x", "y", 3) for i, t in enumerate(texts)], "doc_id long, text string, kept string, n_words string, found int").repartition(3)
     rows = {r["doc_id"]: r for r in dedup_substrings(docs, 12, gram=3).collect()}
     want = brute([(t or "").encode().split() for t in texts], 12)
     assert len(rows) == len(texts)
@@ -52,7 +52,7 @@ def test_against_brute_force(spark, monkeypatch, group):
         assert rows[i]["text"].encode() == b" ".join(w)
         assert rows[i]["n_words"] - len(w) == sum(s["end"] - s["start"] for s in rows[i]["removed"])
     want = brute([(t or "").encode() for t in texts], 60)
-    rows = {r["doc_id"]: r for r in dedup_suffixes(docs.drop("kept"), 60, gram=12).collect()}
+    rows = {r["doc_id"]: r for r in dedup_suffixes(docs, 60, gram=12).collect()}
     for i, w in enumerate(want):
         assert bytes(rows[i]["kept"]) == bytes(w)
         assert rows[i]["n_bytes"] == len((texts[i] or "").encode())
