@@ -40,6 +40,20 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.pieces import decode_pieces, encode_pieces, spaced
+
+    model = vocabulary("piece_bpe_32k.model")
+    coded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == spaced(F.col("text"))).alias("restored"),
+    )
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.neardup import near_duplicates
 
@@ -102,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_topk": op2_topk,
     "op3_substrings": op3_substrings,
+    "op4_pieces": op4_pieces,
     "op5_neardup": op5_neardup,
     "op6_media": op6_media,
     "op7_suffixes": op7_suffixes,
