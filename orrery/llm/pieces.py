@@ -30,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MEMO_WORDS, MEMO_PAIRS = 500_000, 500_000
 _coders: dict[str, "PieceCoder"] = {}
 
@@ -48,7 +47,12 @@ class PieceCoder:
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         self.id = {self.text[i]: i for i in plain}
         self.bytes = {int(self.text[i][1:-1], 16): i for i in ids if model.is_byte(i)}
-        self.longest = max(map(len, self.id))
+        # a line break that no piece holds parts words as well
+        stop = "" if any("\n" in t for t in self.id) else "\n"
+        self.unit = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+|\n")
+        self.reach: dict[str, int] = {}  # by last two characters: the longest piece that ends so
+        for piece in self.id:
+            self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 1))
         raw = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [raw.get(i, b"" if model.is_control(i) else t.replace(MARK, " ").encode()) for i, t in enumerate(self.text)]
         self.coded = [i.to_bytes(4, "little") for i in ids]
@@ -88,6 +92,7 @@ class PieceCoder:
         done: list[bytes] = [b""]
         before = ""
         get, pairs, known, coded, kinds = self.id.get, self.pairs, self.id, self.coded, len(self.text)
+        reach = self.reach.get
         for word in words:
             if word.startswith(MARK * 2) or word == MARK:  # marks in a row tie in score
                 self.words[word] = self._encode_marks(word)
@@ -103,7 +108,8 @@ class PieceCoder:
                     last.append(-1)
                     done.append(done[-1] + b"".join(coded[self.bytes[b]] for b in word[end - 1].encode()))
                     continue
-                for start in range(max(0, end - self.longest), end):
+                far = end - reach(word[end - 2 : end] if end > 1 else word[:1], 1)
+                for start in range(far if far > 0 else 0, end):
                     k = get(word[start:end])
                     if k is None:
                         continue
@@ -139,7 +145,7 @@ class PieceCoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
-        split = [_unit.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.unit.findall((" " + t).replace(" ", MARK)) if t else [] for t in texts]
         fresh = {w for units in split for w in units if w not in self.words}
         self.learn(sorted(fresh))
         get = self.words.__getitem__
