@@ -13,8 +13,9 @@ windows are found, exactly:
 3. Records are counted by minimizer and content. All windows of a content that
    occurs twice repeat. Of the distinct contents of a minimizer, up to
    ``GROUP`` go to one task's ``resolve`` together, which says which of their
-   windows occur twice; where there are more, their windows are counted by hash
-   one by one, which no group can overload.
+   windows occur twice; where there are more, their windows are counted by hash,
+   first in blocks and then, where a block does not repeat, one by one, which no
+   group can overload.
 4. What was found is gathered by text, and ``finish`` writes the result.
 
 Texts without a kept record take no part after step 2.
@@ -153,12 +154,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int, alphabet: Alphabet) ->
             yield batch.slice(lo), raws[lo:], np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
 
 
-def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
-    n = len(symbols)
-    hashed = Hasher(symbols)
-    return hashed(slice(0, n - length + 1), slice(length, n + 1))
-
-
 def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int, resolve: Callable[[list[np.ndarray]], list[np.ndarray]], label: str, *, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, marks): which windows occur more than once, anywhere in ``docs``.
 
@@ -242,18 +237,38 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
         if waiting:
             yield flush(waiting)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = max(4, gram // 2)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches of ``block`` windows, counted off from the minimizer, with their windows' hashes."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                own = [window_hashes(alphabet.symbols(h), length) for h in part.column(2).to_pylist()]
-                times = [len(h) for h in own]
-                cols = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate([np.arange(t, dtype=np.int32) for t in times])), pa.array(np.concatenate(own).view(np.int64))], [*key, "offset", "window"])
-
-    large = partners.filter(F.col("members") > GROUP).select(*key, "_held").mapInArrow(hashes, "_gram long, _content long, offset int, window long")
-    again = staged(large.groupBy("_gram", "window").count().filter("count > 1").select("_gram", "window"), f"{label}-again")
-    counted = large.join(again, ["_gram", "window"]).groupBy(*key).agg(F.collect_list("offset").alias("offsets"))
+                rows = []
+                for g, c, held in zip(*(x.to_pylist() for x in part.columns)):
+                    symbols = alphabet.symbols(held)
+                    n, hashed = len(symbols) - length + 1, Hasher(symbols)
+                    grams = hashed(slice(0, len(symbols) - gram + 1), slice(gram, len(symbols) + 1))
+                    first = int(np.argmax(grams.view(np.int64) == g)) % block
+                    edges = np.r_[0, np.arange(first or block, n, block), n] if n > (first or block) else np.array([0, n])
+                    whole = hashed(edges[:-1], edges[1:] + length - 1) ^ mix(np.diff(edges).astype(np.uint64))
+                    own = hashed(slice(0, n), slice(length, n + length)).view(np.int64)
+                    rows += [(g, c, e, h, own[e:f]) for e, f, h in zip(edges[:-1].tolist(), edges[1:].tolist(), whole.view(np.int64).tolist())]
+                cols = list(zip(*rows)) or [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [*key, "start", "whole", "windows"])
+
+    large = partners.filter(F.col("members") > GROUP).select(*key, "_held").mapInArrow(blocks, "_gram long, _content long, start int, whole long, windows array<bigint>")
+    large = staged(large, f"{label}-blocks")
+    place = F.struct("_content", "start")
+    again = staged(large.groupBy("_gram", "whole").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1"), f"{label}-again")
+    large = staged(large.join(again, ["_gram", "whole"], "left"), f"{label}-blocks")
+    # blocks that repeat as a whole are settled; one of each still meets the windows of the others
+    open_ = large.filter(F.col("times").isNull() | (F.col("first") == place)).select(*key, "times", "start", F.posexplode("windows").alias("i", "window"))
+    again = staged(open_.groupBy("_gram", "window").count().filter("count > 1").select("_gram", "window"), f"{label}-again")
+    single = open_.filter("times is null").join(again, ["_gram", "window"]).select(*key, F.array(F.col("start") + F.col("i")).alias("own"))
+    settled = large.filter("times is not null").select(*key, F.sequence("start", F.col("start") + F.size("windows") - 1).alias("own"))
+    counted = settled.unionByName(single).groupBy(*key).agg(F.flatten(F.collect_list("own")).alias("offsets"))
     partly = small.mapInArrow(resolved, "_gram long, _content long, offsets array<int>").unionByName(counted)
     once = contents.filter("n = 1").select(*key)
     found = staged(every.unionByName(partly.join(once, key, "left_semi")), f"{label}-found")
