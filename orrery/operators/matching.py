@@ -61,7 +61,7 @@ def cell_join(left: DataFrame, right: DataFrame, radius: float, *, xy: tuple[str
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    a = left.withColumn("_i", F.explode(around) + cell(xy[0])).withColumn("_j", F.explode(around) + cell(xy[1]))
+    a = left.withColumn("_i", F.explode(F.transform(around, lambda i: cell(xy[0]) + i))).withColumn("_j", F.explode(F.transform(around, lambda i: cell(xy[1]) + i)))
     b = right.withColumn("_i", cell(xy2[0])).withColumn("_j", cell(xy2[1]))
     distance = F.sqrt((F.col(xy[0]) - F.col(xy2[0])) ** 2 + (F.col(xy[1]) - F.col(xy2[1])) ** 2)
     return a.join(b, ["_i", "_j"]).withColumn("distance", distance).filter(F.col("distance") <= radius).drop("_i", "_j")

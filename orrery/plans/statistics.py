@@ -13,7 +13,7 @@ from orrery.session import table
 @query("""
 WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus, CASE WHEN l_quantity>1 THEN l_extendedprice/l_quantity END AS raw, l_discount FROM lineitem),
 g AS (SELECT l_returnflag, l_linestatus, quantile_cont(raw, 0.9) FILTER (WHERE l_discount<0.09) AS ref FROM r GROUP BY 1,2)
-SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(least(1.0, raw/ref),0),8) AS score FROM r JOIN g USING (l_returnflag, l_linestatus)""")
+SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN raw>0 AND ref>0 THEN least(1.0, raw/ref) ELSE 0 END,8) AS score FROM r JOIN g USING (l_returnflag, l_linestatus)""")
 def capped_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight over the 90th percentile of the group's counted rows, at most 1, 0 where unknown."""
     raw = F.when(F.col("l_quantity") > 1, F.col("l_extendedprice") / F.col("l_quantity"))
@@ -148,7 +148,7 @@ def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH w AS (SELECT l_partkey, l_extendedprice AS x, l_quantity AS w, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS lo, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS hi FROM lineitem),
 c AS (SELECT l_partkey, avg(x) AS m, stddev_pop(x) AS s FROM w WHERE lo>4 AND hi>4 GROUP BY 1)
-SELECT l_partkey, round(sum(x*w)/sum(w),4) AS level, count(*) AS n FROM w JOIN c USING (l_partkey) WHERE abs(x-m)<=3*greatest(s,0.05*m) GROUP BY 1""")
+SELECT l_partkey, round(sum(x*w)/sum(w),2) AS level, count(*) AS n FROM w JOIN c USING (l_partkey) WHERE abs(x-m)<=3*greatest(s,0.05*m) GROUP BY 1""")
 def clipped_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centre and spread without the four extremes each side, then a 3-sigma clipped weighted mean."""
     by = Window.partitionBy("l_partkey")
@@ -156,7 +156,7 @@ def clipped_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = w.withColumn("lo", F.row_number().over(by.orderBy("x", "l_orderkey", "l_linenumber"))).withColumn("hi", F.row_number().over(by.orderBy(F.desc("x"), "l_orderkey", "l_linenumber")))
     c = w.filter("lo > 4 and hi > 4").groupBy("l_partkey").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     near = w.join(c, "l_partkey").filter(F.abs(F.col("x") - F.col("m")) <= 3 * F.greatest(F.col("s"), 0.05 * F.col("m")))
-    return near.groupBy("l_partkey").agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 4).alias("level"), F.count("*").alias("n"))
+    return near.groupBy("l_partkey").agg(F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 2).alias("level"), F.count("*").alias("n"))
 
 
 @query("""
