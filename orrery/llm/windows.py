@@ -158,8 +158,9 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
     """(texts, marks): which windows occur more than once, anywhere in ``docs``.
 
     texts: the columns of ``docs`` and _row (unique) and _hit (it may have
-    marks). marks: _row and found, an array of (lo, offsets): repeated windows
-    start at symbols lo + offset.
+    marks). marks: _row and found, an array of (lo, windows, offsets): repeated
+    windows start at symbols lo + offset, or, where offsets is null, at each of
+    the record's windows.
     """
     at = docs.columns.index(text_col)
 
@@ -273,14 +274,13 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
     once = contents.filter("n = 1").select(*key)
     found = staged(every.unionByName(partly.join(once, key, "left_semi")), f"{label}-found")
     spots = records.select("_row", *key, "_lo", "_windows").join(found, key)
-    offsets = F.coalesce("offsets", F.sequence(F.lit(0), F.col("_windows") - 1))
-    marks = spots.groupBy("_row").agg(F.collect_list(F.struct(F.col("_lo").alias("lo"), offsets.alias("offsets"))).alias("found"))
+    marks = spots.groupBy("_row").agg(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_windows").alias("windows"), "offsets")).alias("found"))
     return texts, marks
 
 
 def with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """Texts with found; only those with kept records meet the marks."""
-    none = F.lit(None).cast("array<struct<lo:bigint,offsets:array<int>>>").alias("found")
+    none = F.lit(None).cast("array<struct<lo:bigint,windows:int,offsets:array<int>>>").alias("found")
     return texts.filter("not _hit").select("*", none).unionByName(texts.filter("_hit").join(marks, "_row", "left").select(*texts.columns, "found"))
 
 
@@ -288,6 +288,10 @@ def covered(n: int, length: int, found: list[dict] | None) -> np.ndarray:
     """Which of n symbols are covered by the found windows."""
     step = np.zeros(n + 1, np.int32)
     for spot in found or []:
+        if spot["offsets"] is None:
+            step[spot["lo"]] += 1
+            step[spot["lo"] + spot["windows"] - 1 + length] -= 1
+            continue
         starts = spot["lo"] + np.asarray(spot["offsets"], np.int64)
         np.add.at(step, starts, 1)
         np.add.at(step, starts + length, -1)
