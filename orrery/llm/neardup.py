@@ -14,9 +14,9 @@ are found in two rounds, neither of which emits all pairs of a bucket:
 1. Every member of a bucket is compared with the bucket's least member. Linked
    nodes form components.
 2. Buckets whose members are in one component by now are finished. In the
-   others, all members but those of the largest component are compared, by
-   their samples, with blocks of all members; of each other component, the
-   member most alike (if at all near) is verified.
+   others, all members but those of the largest component are compared, block
+   by block, with all members: every pair of different components that is near
+   by its samples is verified, a block with a block at a time.
 
 Every link is verified on the texts: weighted Jaccard similarity of at least
 ``threshold``. The classes are the connected components of the links.
@@ -200,9 +200,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "d
     links = staged(_verified(first, texts, idf, threshold), "neardup-links")
     parts = staged(connected_components(links), "neardup-parts")
 
-    second = _second_round(members, nodes, parts, near)
-    texts = _texts_of(picked, _ends(second), spark)
-    more = staged(_verified(second, texts, idf, threshold), "neardup-links")
+    open_, met = _second_round(members, nodes, parts)
+    texts = _texts_of(picked, open_.select("node").distinct(), spark)
+    more = staged(_verified_blocks(open_, met, texts, idf, threshold, near), "neardup-links")
     if not more.isEmpty():
         parts = staged(connected_components(links.unionByName(more)), "neardup-parts")
 
@@ -279,34 +279,119 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
-def _second_round(members: DataFrame, nodes: DataFrame, parts: DataFrame, near: float) -> DataFrame:
-    """Pairs (a, b) worth verifying in buckets that hold several components."""
+def _second_round(members: DataFrame, nodes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets that hold several components, in blocks, and the pairs of blocks to compare."""
     labelled = members.select("key", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = staged(labelled, "neardup-labelled")
     counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = staged(counts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("top")).filter("kinds > 1").select("key", F.col("top.component").alias("largest")), "neardup-mixed")
-    open_ = staged(labelled.join(mixed, "key").join(nodes.select("node", "sig"), "node"), "neardup-open")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK).cast("int"))
-    blocks = open_.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "sig")).alias("others"))
-    seekers = open_.filter("component != largest").select("key", "node", "component", "sig")
+    top = F.max(F.struct("n", "component"))
+    mixed = staged(counts.groupBy("key").agg(F.count("*").alias("kinds"), top.alias("top")).filter("kinds > 1").select("key", F.col("top.component").alias("largest"), F.col("top.n").alias("n")), "neardup-mixed")
+    # A member of the largest component (not seeking) only meets those of others.
+    seeking = F.col("component") != F.col("largest")
+    slots = F.ceil(F.when(seeking, F.col("size") - F.col("n")).otherwise(F.col("n")) / BLOCK).cast("int")
+    open_ = labelled.join(mixed, "key").select("key", "node", "component", seeking.alias("seeking"), F.pmod(F.xxhash64("node"), slots).cast("int").alias("block"))
+    open_ = staged(open_.join(nodes.select("node", "sig"), "node"), "neardup-open")
+    ids = staged(open_.select("key", "seeking", "block").distinct(), "neardup-blocks")
+    one, other = ids.filter("seeking").select("key", F.col("block").alias("a")), ids.select("key", "seeking", F.col("block").alias("b"))
+    return open_, staged(one.join(other, "key").filter("not seeking or b >= a"), "neardup-block-pairs")
+
+
+def similarities(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], columns: int = 4096) -> np.ndarray:
+    """``similarity`` of every set of ``a`` with every one of ``b``.
+
+    With v1 < v2 < ... the weights that a shingle has anywhere, the lesser of
+    two weights is the sum of the steps v(k) - v(k-1) that both reach, so that
+    the sums of lesser weights are a product of matrices.
+    """
+    sets = a + b
+    keys, weights = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
+    rows = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    order = np.lexsort((weights, keys))
+    keys, weights, rows = keys[order], weights[order], rows[order]
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    level = np.flatnonzero(first | np.r_[True, weights[1:] != weights[:-1]])
+    own = np.searchsorted(level, np.arange(len(keys)), "right") - 1  # the level that an entry just reaches
+    starts = first[level]
+    step = weights[level] - np.where(starts, 0, np.r_[0, weights[level][:-1]])
+    depth = (np.arange(len(level)) - np.maximum.accumulate(np.where(starts, np.arange(len(level)), 0)))[own] + 1
+    reached = np.repeat(own, depth) - (np.arange(depth.sum()) - np.repeat(np.cumsum(depth) - depth, depth))
+    rows = np.repeat(rows, depth)
+    left = rows < len(a)
+    shared = np.intersect1d(reached[left], reached[~left])
+    both = np.zeros((len(a), len(b)))
+    held = np.isin(reached, shared)
+    reached, rows = np.searchsorted(shared, reached[held]), rows[held]
+    order = np.argsort(reached, kind="stable")
+    reached, rows = reached[order], rows[order]
+    for at in range(0, len(shared), columns):
+        lo, hi = np.searchsorted(reached, (at, at + columns))
+        wide = np.zeros((len(sets), min(columns, len(shared) - at)))
+        wide[rows[lo:hi], reached[lo:hi] - at] = 1
+        both += (wide[: len(a)] * step[shared[at : at + columns]]) @ wide[len(a) :].T
+    total = np.array([s[1].sum() for s in sets])
+    return both / (total[: len(a), None] + total[None, len(a) :] - both)
+
+
+def _verified_blocks(open_: DataFrame, met: DataFrame, texts: DataFrame, idf, threshold: float, near: float) -> DataFrame:
+    """Links (a, b) between components, of all pairs of the blocks that met.
+
+    All pairs of different components that are at least ``near`` by their
+    samples are verified; of the links of two blocks, those are given that
+    connect the same components.
+    """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for node, component, sig, others in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(sig, np.uint16)
-                alike = (np.frombuffer(b"".join(o["sig"] for o in others), np.uint16).reshape(-1, len(own)) == own).mean(1)
-                best: dict[bytes, tuple[float, bytes]] = {}
-                for i in np.flatnonzero(alike >= near).tolist():
-                    o = others[i]
-                    if o["component"] != component:
-                        best[o["component"]] = max(best.get(o["component"], (0.0, b"")), (float(alike[i]), o["node"]))
-                found += [(min(node, other), max(node, other)) for _, other in best.values()]
-            cols = zip(*found) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    met = seekers.join(staged(blocks, "neardup-blocks").select("key", "others"), "key").select("node", "component", "sig", "others")
-    return staged(met.mapInArrow(compare, "a binary, b binary").distinct(), "neardup-second")
+        unzip, known = zstandard.ZstdDecompressor(), {}
+
+        def set_of(o: dict) -> tuple[np.ndarray, np.ndarray]:
+            if o["node"] not in known:
+                if len(known) > 8 * BLOCK:
+                    known.clear()
+                known[o["node"]] = weighted(unzip.decompress(o["text"]), idf.value)
+            return known[o["node"]]
+
+        def links(a: list[dict], b: list[dict]) -> list[tuple[bytes, bytes]]:
+            sigs = [np.frombuffer(b"".join(o["sig"] for o in side), np.uint16).reshape(len(side), -1) for side in (a, b)]
+            number: dict[bytes, int] = {}
+            kinds = [np.array([number.setdefault(o["component"], len(number)) for o in side]) for side in (a, b)]
+            open_pairs = np.array([(s == sigs[1]).mean(1) for s in sigs[0]]) >= near
+            open_pairs &= kinds[0][:, None] != kinds[1]
+            i, j = np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))
+            if not len(i):
+                return []
+            left, right = [set_of(a[x]) for x in i], [set_of(b[x]) for x in j]
+            found = similarities(left, right)
+            close = open_pairs[np.ix_(i, j)] & (found >= threshold - 1e-9)
+            x, y = np.nonzero(close)
+            leader, out = list(range(len(number))), []
+
+            def find(k: int) -> int:
+                while leader[k] != k:
+                    leader[k] = k = leader[leader[k]]
+                return k
+
+            for x, y in zip(x.tolist(), y.tolist()):
+                u, v = find(int(kinds[0][i[x]])), find(int(kinds[1][j[y]]))
+                # At the threshold, the sum's order decides: the same one everywhere.
+                if u != v and (found[x, y] >= threshold + 1e-9 or similarity(left[x], right[y]) >= threshold):
+                    leader[max(u, v)] = min(u, v)
+                    out.append((a[i[x]]["node"], b[j[y]]["node"]))
+            return out
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                cols = zip(*rows) if rows else ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
+
+    blocks = open_.join(texts, "node").groupBy("key", "seeking", "block").agg(F.collect_list(F.struct("node", "component", "sig", "text")).alias("held"))
+    blocks = staged(blocks, "neardup-blocks")
+    one = blocks.filter("seeking").select("key", F.col("block").alias("a"), F.col("held").alias("x"))
+    other = blocks.select("key", "seeking", F.col("block").alias("b"), F.col("held").alias("y"))
+    both = met.join(one, ["key", "a"]).join(other, ["key", "seeking", "b"])
+    return both.select("x", "y").mapInArrow(verify, "a binary, b binary")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

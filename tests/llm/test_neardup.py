@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from orrery.llm.neardup import BANDS, ROWS, keep_one, near_duplicates, samples, shingle_idf, similarity, weighted
+from orrery.llm.neardup import BANDS, ROWS, band_keys, keep_one, near_duplicates, samples, shingle_idf, similarities, similarity, weighted
 
 
 def normal(text):
@@ -90,3 +90,37 @@ def test_many_rows_in_mixed_buckets(spark):
     for i in range(5):
         want[i + 1] = want[i] if linked[i] else i + 1
     assert all(got[i] == want[i] for i in range(6)) or BANDS * ROWS == 0
+
+
+def test_similarities_equal_similarity():
+    rng = np.random.default_rng(3)
+    unit = rng.uniform(1, 6, 60)
+    sets = []
+    for n in (1, 20, 40, 60, 35, 50):
+        own = np.sort(rng.choice(60, n, replace=False))
+        sets.append((own.astype(np.uint64), rng.integers(1, 5, n) * unit[own]))
+    got = similarities(sets[:2], sets[2:], columns=7)
+    assert np.allclose(got, [[similarity(a, b) for b in sets[2:]] for a in sets[:2]], atol=1e-12)
+    assert np.allclose(similarities(sets, sets), [[similarity(a, b) for b in sets] for a in sets], atol=1e-12)
+
+
+def test_family_of_borderline_copies(spark):
+    """Every pair of a bucket that reaches 0.8 is linked, whichever members look more alike by their samples."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(250)]
+    texts = [" ".join([f"u{i}", f"v{i}", *base]) for i in range(400)]
+    for i in range(24):  # much like all of the family, but only alike enough to member i
+        words = [f"u{i}", f"v{i}", *base[: 250 - rnd.randrange(12, 24)]]
+        words[rnd.randrange(20, 200)] = f"x{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    idf = shingle_idf(docs)
+    sets = [weighted(normal(t), idf) for t in texts]
+    keys = band_keys(samples(sets))
+    close = (np.array([(keys == k).any(1) for k in keys])) & (similarities(sets, sets) >= 0.8)
+    want = np.arange(len(texts))
+    for _ in texts:
+        want = np.where(close, want, len(texts)).min(1)
+    assert 3 < (want[400:] == 0).sum() < 24 and (close[400:, :400].sum(1) == 1).any()
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want.tolist()
