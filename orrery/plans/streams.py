@@ -45,11 +45,11 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kicks of each user merged into runs; tested against a plain loop."""
     s = jobs.table_stream(spark, sf_dir, "events").select("user_id", (micros("ts") / 1e6).alias("at"))
-    return jobs.run_once(jobs.debounced(s, "user_id", "at", 6 * 3600, 24 * 3600), [], "append")
+    return jobs.run_once(jobs.debounced(s, "user_id", "at", 6 * 3600, 24 * 3600), [], "append", lambda left: jobs.last_runs(left, "user_id", 6 * 3600, 24 * 3600))
 
 
 @query()
 def stream_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watches opened and ended per user; tested against a plain loop."""
     s = jobs.table_stream(spark, sf_dir, "events").select("user_id", (micros("ts") / 8.64e10).alias("at"), "value")
-    return jobs.run_once(jobs.watched(s, "user_id", "at", "value", start=80, fade=30, timeout=2.0), [], "append")
+    return jobs.run_once(jobs.watched(s, "user_id", "at", "value", start=80, fade=30, timeout=2.0), [], "append", lambda left: jobs.last_timeouts(left, "user_id", 2.0))

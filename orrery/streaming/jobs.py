@@ -8,7 +8,7 @@ its own folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orrery.operators.upsert import last_wins
-from orrery.session import shared_dir
+from orrery.session import shared_dir, staged
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, *, files: int | None = None) -> DataFrame:
@@ -28,11 +28,12 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, *, files: int | No
     return reader.parquet(path + "*")
 
 
-def run_once(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+def run_once(stream: DataFrame, keys: list[str], mode: str = "update", rest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all there is; the last row of each key (all rows, if no keys).
 
     Each micro-batch writes its own folder under the shared one, so that a
-    retried batch replaces itself.
+    retried batch replaces itself. ``rest`` makes the rows that are due once
+    the stream has ended from the states left: (key, state), both structs.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
@@ -44,7 +45,11 @@ def run_once(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFr
     q = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").start()
     q.awaitTermination()
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out") if q.lastProgress else spark.createDataFrame([], schema)
-    return (last_wins(rows, keys, ["_batch"]) if keys else rows).drop("_batch")
+    done = (last_wins(rows, keys, ["_batch"]) if keys else rows).drop("_batch")
+    if rest is None or not q.lastProgress:
+        return done
+    states = spark.read.format("statestore").load(f"{base}/checkpoint").select("key", F.col("value.groupState").alias("state"))
+    return done.unionByName(staged(rest(states), "stream-rest"))
 
 
 def windowed(stream: DataFrame, at: str, length: str, aggregates: list[Column], *, slide: str | None = None, keys: list[str] = (), late: str = "2 hours", start: str | None = None) -> DataFrame:
@@ -73,6 +78,7 @@ def debounced(stream: DataFrame, key: str, at: str, quiet: float, longest: float
 
     ``at`` is a double of seconds. A run is emitted when a later kick shows
     that it was due, with its number of kicks; the state is one run per key.
+    The last run of a key is left in the state, for ``last_runs``.
     """
 
     def merge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -92,12 +98,19 @@ def debounced(stream: DataFrame, key: str, at: str, quiet: float, longest: float
     return stream.select(key, at).groupBy(key).applyInPandasWithState(merge, f"`{key}` {kind}, first double, due double, kicks long", "first double, last double, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def last_runs(states: DataFrame, key: str, quiet: float, longest: float) -> DataFrame:
+    """The runs of ``debounced`` that no later kick has shown to be due: all are once the stream has ended."""
+    due = F.least(F.col("state.last") + quiet, F.col("state.first") + longest)
+    return states.select(F.col(f"key.{key}").alias(key), "state.first", due.alias("due"), F.col("state.n").alias("kicks"))
+
+
 def watched(stream: DataFrame, key: str, at: str, value: str, *, start: float, fade: float, fades: int = 2, timeout: float = 90.0) -> DataFrame:
     """A watch per key: opened by a value of ``start`` or more, ended by ``fades`` values under ``fade``, or by ``timeout`` without a new value.
 
     ``at`` is a double; transitions (key, at, state, reason) are emitted. An
     ended watch can open again. Rows of a micro-batch are taken in the order
-    of (at, value).
+    of (at, value). A timeout is emitted at the key's next value; watches
+    without one stay in the state, for ``last_timeouts``.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -122,3 +135,9 @@ def watched(stream: DataFrame, key: str, at: str, value: str, *, start: float, f
 
     kind = dict(stream.dtypes)[key]
     return stream.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, at double, state string, reason string", "opened boolean, low long, seen double", "append", GroupStateTimeout.NoTimeout)
+
+
+def last_timeouts(states: DataFrame, key: str, timeout: float = 90.0) -> DataFrame:
+    """The ends of the watches of ``watched`` that are open when the stream has ended."""
+    at = (F.col("state.seen") + timeout).alias("at")
+    return states.filter("state.opened").select(F.col(f"key.{key}").alias(key), at, F.lit("ended").alias("state"), F.lit("timeout").alias("reason"))

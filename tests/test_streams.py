@@ -57,3 +57,30 @@ def test_stream_equals_batch_with_many_files(spark, tmp_path):
     df.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     rows = lambda d: sorted(tuple(r) for r in streams.stream_tumbling(spark, d).collect())
     assert rows(str(tmp_path)) == rows(SF)
+
+
+def test_every_kick_is_in_a_run(spark):
+    """The last run of a user comes out as well."""
+    rows = streams.stream_debounced(spark, SF).collect()
+    by = events()
+    for user, own in by.items():
+        runs = sorted((r["first"], r["due"], r["kicks"]) for r in rows if r["user_id"] == user)
+        assert sum(n for _, _, n in runs) == len(own)
+        for first, due, n in runs:
+            inside = [t for t, _ in own if first <= t <= due]
+            assert len(inside) == n and inside[0] == first and abs(due - min(inside[-1] + 6 * 3600, first + 24 * 3600)) < 1e-3
+    assert {r["user_id"] for r in rows} == set(by)
+
+
+def test_every_watch_ends(spark):
+    """A watch that no later value ends is ended by its timeout."""
+    rows = streams.stream_watches(spark, SF).collect()
+    last = {k: v[-1][0] / 86400 for k, v in events().items()}
+    open_ = 0
+    for user in last:
+        own = sorted((r["at"], r["state"], r["reason"]) for r in rows if r["user_id"] == user)
+        assert sum(r[1] == "watching" for r in own) == sum(r[1] == "ended" for r in own)
+        if own and own[-1][0] > last[user]:
+            assert own[-1][1:] == ("ended", "timeout") and abs(own[-1][0] - last[user] - 2) < 1e-9
+            open_ += 1
+    assert open_
