@@ -53,7 +53,7 @@ SHINGLE = 5
 BANDS, ROWS = 16, 4
 BLOCK = 256
 #: Bytes of text in a shard (a longer text is one alone) and shingles in a range of hashes.
-SHARD_BYTES, RANGE_SHINGLES = 4 << 20, 1 << 19
+SHARD_BYTES, RANGE_SHINGLES = 2 << 20, 1 << 19
 #: A shingle's hash has so many bits more than there are shingles, so that one in 2**SPARE meets another by chance.
 SPARE = 22
 _rng = np.random.default_rng(7)
@@ -97,9 +97,14 @@ class Shard:
     def __init__(self, raw: bytes, sizes: np.ndarray, bits: int):
         text, found = shingles(raw, sizes)
         found >>= np.uint64(64 - bits)
-        self.ids = np.unique(found)
+        order = np.argsort(found)
+        ascending = found[order]
+        first = np.r_[True, ascending[1:] != ascending[:-1]][: len(found)]
+        self.ids = ascending[first]
         n = max(1, len(self.ids))
-        cells, self.counts = np.unique(text * n + np.searchsorted(self.ids, found), return_counts=True)
+        place = np.empty(len(found), np.int64)
+        place[order] = np.cumsum(first) - 1
+        cells, self.counts = np.unique(text * n + place, return_counts=True)
         self.text, self.place = cells // n, cells % n
         self.edges = np.searchsorted(self.text, np.arange(len(sizes) + 1))
 
