@@ -41,15 +41,32 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_once(jobs.deduplicated(s, ["user_id", "event_type"]), [], "append")
 
 
-@query()
+@query("""
+WITH RECURSIVE k AS (SELECT user_id, epoch_us(ts)/1e6 AS t FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600 THEN 1 ELSE 0 END AS new FROM k),
+s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS sid FROM g),
+r AS (SELECT user_id, sid, min(t) AS f FROM s GROUP BY 1,2 UNION ALL SELECT r.user_id, r.sid, min(s.t) FROM r JOIN s ON s.user_id=r.user_id AND s.sid=r.sid AND s.t > r.f+86400 GROUP BY r.user_id, r.sid, r.f),
+n AS (SELECT *, lead(f) OVER (PARTITION BY user_id, sid ORDER BY f) AS after FROM r)
+SELECT n.user_id, n.f AS first, least(max(s.t)+21600, n.f+86400) AS due, count(*) AS kicks FROM n JOIN s ON s.user_id=n.user_id AND s.sid=n.sid AND s.t>=n.f AND (n.after IS NULL OR s.t<n.after) GROUP BY n.user_id, n.f""")
 def stream_debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kicks of each user merged into runs; tested against a plain loop."""
+    """Kicks of each user merged into runs."""
     s = jobs.table_stream(spark, sf_dir, "events").select("user_id", (micros("ts") / 1e6).alias("at"))
     return jobs.run_once(jobs.debounced(s, "user_id", "at", 6 * 3600, 24 * 3600), [], "append", lambda left: jobs.last_runs(left, "user_id", 6 * 3600, 24 * 3600))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts)/1e6 AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS rn FROM events),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS t, 0.0::DOUBLE AS v, false AS opened, 0 AS low, 0.0::DOUBLE AS seen, false AS late, false AS was FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT e.user_id, e.rn, e.t, e.v,
+  CASE WHEN w.opened AND e.t-w.seen<=172800 THEN NOT (e.v<30 AND w.low+1>=2) ELSE e.v>=80 END,
+  CASE WHEN w.opened AND e.t-w.seen<=172800 AND e.v<30 AND w.low+1<2 THEN w.low+1 ELSE 0 END,
+  e.t, w.opened AND e.t-w.seen>172800, w.opened AND e.t-w.seen<=172800 FROM w JOIN e ON e.user_id=w.user_id AND e.rn=w.rn+1),
+x AS (SELECT *, lag(seen) OVER (PARTITION BY user_id ORDER BY rn) AS before, max(rn) OVER (PARTITION BY user_id) AS last FROM w)
+SELECT user_id, before+172800 AS at, 'ended' AS state, 'timeout' AS reason FROM x WHERE late
+UNION ALL SELECT user_id, t, 'watching', 'rose' FROM x WHERE opened AND NOT was
+UNION ALL SELECT user_id, t, 'ended', 'faded' FROM x WHERE was AND NOT opened
+UNION ALL SELECT user_id, seen+172800, 'ended', 'timeout' FROM x WHERE opened AND rn=last""")
 def stream_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watches opened and ended per user; tested against a plain loop."""
-    s = jobs.table_stream(spark, sf_dir, "events").select("user_id", (micros("ts") / 8.64e10).alias("at"), "value")
-    return jobs.run_once(jobs.watched(s, "user_id", "at", "value", start=80, fade=30, timeout=2.0), [], "append", lambda left: jobs.last_timeouts(left, "user_id", 2.0))
+    """Watches opened and ended per user."""
+    s = jobs.table_stream(spark, sf_dir, "events").select("user_id", (micros("ts") / 1e6).alias("at"), "value")
+    return jobs.run_once(jobs.watched(s, "user_id", "at", "value", start=80, fade=30, timeout=172_800.0), [], "append", lambda left: jobs.last_timeouts(left, "user_id", 172_800.0))

@@ -7,6 +7,7 @@ its own folder.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -73,12 +74,28 @@ def deduplicated(stream: DataFrame, keys: list[str], at: str | None = None, late
     return stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def debounced(stream: DataFrame, key: str, at: str, quiet: float, longest: float) -> DataFrame:
+def _timed(stream: DataFrame, key: str, columns: list[str], at: str, late: str) -> DataFrame:
+    """The columns, with the seconds of ``at`` as an event time under a watermark."""
+    return stream.select(key, *columns, F.col(at).cast("timestamp").alias("_at")).withWatermark("_at", late).groupBy(key)
+
+
+def _wake(state: GroupState, seconds: float) -> bool:
+    """Set the key's timer; false if the watermark is past it already."""
+    at = math.ceil(seconds * 1000) + 1
+    if at <= state.getCurrentWatermarkMs():
+        return False
+    state.setTimeoutTimestamp(at)
+    return True
+
+
+def debounced(stream: DataFrame, key: str, at: str, quiet: float, longest: float, late: str = "1 day") -> DataFrame:
     """Kicks merged into runs: a run is due at min(last kick + quiet, first kick + longest).
 
-    ``at`` is a double of seconds. A run is emitted when a later kick shows
-    that it was due, with its number of kicks; the state is one run per key.
-    The last run of a key is left in the state, for ``last_runs``.
+    ``at`` is a double of seconds. A run is emitted, with its number of kicks,
+    when a later kick of the key or the watermark (``late`` behind the latest
+    kick of any key) shows that it was due; the state is one run per key, and
+    none once it is emitted. Runs that neither has reached when a stream ends
+    are made by ``last_runs``.
     """
 
     def merge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,12 +107,16 @@ def debounced(stream: DataFrame, key: str, at: str, quiet: float, longest: float
                 out.append((k[0], first, due, n))
                 first = None
             first, last, n = (t, t, 1) if first is None else (first, t, n + 1)
+        due = min(last + quiet, first + longest)
         state.update((first, last, n))
+        if state.hasTimedOut or not _wake(state, due):
+            out.append((k[0], first, due, n))
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=[key, "first", "due", "kicks"])
 
     kind = dict(stream.dtypes)[key]
-    return stream.select(key, at).groupBy(key).applyInPandasWithState(merge, f"`{key}` {kind}, first double, due double, kicks long", "first double, last double, n long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream, key, [at], at, late).applyInPandasWithState(merge, f"`{key}` {kind}, first double, due double, kicks long", "first double, last double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def last_runs(states: DataFrame, key: str, quiet: float, longest: float) -> DataFrame:
@@ -104,13 +125,15 @@ def last_runs(states: DataFrame, key: str, quiet: float, longest: float) -> Data
     return states.select(F.col(f"key.{key}").alias(key), "state.first", due.alias("due"), F.col("state.n").alias("kicks"))
 
 
-def watched(stream: DataFrame, key: str, at: str, value: str, *, start: float, fade: float, fades: int = 2, timeout: float = 90.0) -> DataFrame:
+def watched(stream: DataFrame, key: str, at: str, value: str, *, start: float, fade: float, fades: int = 2, timeout: float = 90 * 86_400.0, late: str = "1 day") -> DataFrame:
     """A watch per key: opened by a value of ``start`` or more, ended by ``fades`` values under ``fade``, or by ``timeout`` without a new value.
 
-    ``at`` is a double; transitions (key, at, state, reason) are emitted. An
-    ended watch can open again. Rows of a micro-batch are taken in the order
-    of (at, value). A timeout is emitted at the key's next value; watches
-    without one stay in the state, for ``last_timeouts``.
+    ``at`` is a double of seconds; transitions (key, at, state, reason) are
+    emitted. An ended watch can open again. Rows of a micro-batch are taken in
+    the order of (at, value). A timeout is emitted at the key's next value or
+    when the watermark (``late`` behind the latest row of any key) is past it;
+    a key without an open watch leaves no state. Watches that are open when a
+    stream ends are ended by ``last_timeouts``.
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -130,14 +153,19 @@ def watched(stream: DataFrame, key: str, at: str, value: str, *, start: float, f
                 opened, low = True, 0
             seen = t
         state.update((opened, low, seen))
+        if opened and (state.hasTimedOut or not _wake(state, seen + timeout)):
+            out.append((k[0], seen + timeout, "ended", "timeout"))
+            opened = False
+        if not opened:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=[key, "at", "state", "reason"])
 
     kind = dict(stream.dtypes)[key]
-    return stream.select(key, at, value).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, at double, state string, reason string", "opened boolean, low long, seen double", "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream, key, list(dict.fromkeys([at, value])), at, late).applyInPandasWithState(step, f"`{key}` {kind}, at double, state string, reason string", "opened boolean, low long, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def last_timeouts(states: DataFrame, key: str, timeout: float = 90.0) -> DataFrame:
+def last_timeouts(states: DataFrame, key: str, timeout: float = 90 * 86_400.0) -> DataFrame:
     """The ends of the watches of ``watched`` that are open when the stream has ended."""
     at = (F.col("state.seen") + timeout).alias("at")
     return states.filter("state.opened").select(F.col(f"key.{key}").alias(key), at, F.lit("ended").alias("state"), F.lit("timeout").alias("reason"))
