@@ -16,9 +16,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 
     Where there are more, those with the smallest hashes of their id are taken.
     The ids are broadcast, being bounded by ``max_rows``. Null labels and ids
-    take no part.
+    take no part; an id counts once, with its greatest label and text.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
-    picked = rows.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    picked = rows.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    return found.groupBy("id").agg(F.coalesce(F.max("text"), F.lit("")).alias("text"), F.max("y").alias("y")).select("text", "y")

@@ -10,13 +10,15 @@ windows are found, exactly:
 2. Minimizers are counted over all texts. Those that occur twice are marked in
    a bitmap of fixed size; the second pass keeps the records that it hits, with
    their symbols. (As the bitmap fills up, more records are kept, no fewer.)
-3. Records are counted by minimizer and content. All windows of a content that
-   occurs twice repeat. Of the distinct contents of a minimizer, up to
-   ``GROUP`` go to one task's ``resolve`` together, which says which of their
-   windows occur twice; where there are more, their windows are counted by hash,
-   first in blocks and then, where a block does not repeat, one by one, which no
-   group can overload.
-4. What was found is gathered by text, and ``finish`` writes the result.
+3. Records are counted by minimizer and content. The distinct contents of a
+   minimizer, with the number of their copies, go to one shard, whose index
+   (``resolve``) says which of their windows occur twice.
+4. A minimizer of more than ``GROUP`` contents is dealt out further: its
+   windows are compared by hash, first in blocks and then, where a block does
+   not repeat, one by one; of each hash that comes twice, two places go to the
+   shard of the hash, whose index decides. So no group can overload a task, and
+   an index decides in every case.
+5. What was found is gathered by text.
 
 Texts without a kept record take no part after step 2.
 """
@@ -40,10 +42,10 @@ GROUP = 64
 BLOCK = 1 << 20
 #: Windows of a record; longer runs (of periodic texts) are cut.
 RUN = 512
-POSITION_BITS = 28
+POSITION_BITS = 31  # a column's value has no more bytes
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Columns of these names can't pass through.
+#: Columns made on the way (see ``shielded``).
 RESERVED = ("_row", "_hit", "_gram", "_content", "_lo", "_windows", "_inner", "_held", "found")
 _powers: list[np.ndarray] = []
 
@@ -154,7 +156,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: int, alphabet: Alphabet) ->
             yield batch.slice(lo), raws[lo:], np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
 
 
-def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int, resolve: Callable[[list[np.ndarray]], list[np.ndarray]], label: str, *, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def shielded(docs: DataFrame, names: tuple[str, ...] = RESERVED) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns of these names called otherwise, and what to call them back."""
+    taken, back = {c.lower() for c in docs.columns} | {n.lower() for n in names}, {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            i = 0
+            while f"_own{i}" in taken:
+                i += 1
+            taken.add(f"_own{i}")
+            back[f"_own{i}"] = c
+    return docs.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
+def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int, resolve: Callable[[list[np.ndarray], list[int]], list[np.ndarray]], label: str, *, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, marks): which windows occur more than once, anywhere in ``docs``.
 
     texts: the columns of ``docs`` and _row (unique) and _hit (it may have
@@ -213,30 +228,34 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
     contents = staged(records.groupBy(*key).agg(F.count("*").alias("n"), F.max("_windows").alias("_windows"), F.max("_inner").alias("_inner"), F.min("_held").alias("_held")), f"{label}-contents")
     groups = staged(contents.groupBy("_gram").agg(F.count("*").alias("members")).filter("members > 1"), f"{label}-groups")
     sized = contents.join(groups, "_gram", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    every = sized.filter("n > 1").select(*key, F.lit(None).cast("array<int>").alias("offsets"))
-    partners = sized.filter("members > 1 or _inner")
-    small = partners.filter(F.col("members") <= GROUP).select("n", *key, "_held").repartition("_gram").sortWithinPartitions("_gram")
-
-    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of records, some at a time; a group never parts."""
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            found = resolve([alphabet.symbols(r[3]) for r in rows])
-            out = [(r[1], r[2], np.flatnonzero(f).astype(np.int32)) for r, f in zip(rows, found) if r[0] == 1 and f.any()]
-            cols = list(zip(*out)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], [*key, "offsets"])
-
+    partners = staged(sized.filter("n > 1 or members > 1 or _inner").select("n", *key, "members", "_held"), f"{label}-partners")
+    hot = F.col("members") > GROUP
+    # contents that meet no other, and copies in large groups, are resolved where they are
+    alone = (F.col("members") == 1) | hot & (F.col("n") > 1)
+    alone = partners.filter(alone).select(F.col("_content").alias("shard"), "n", *key, "_held")
+    copied, single = alone.filter("n > 1"), alone.filter("n = 1")
+    small = partners.filter((F.col("members") > 1) & ~hot).select(F.col("_gram").alias("shard"), "n", *key, "_held").repartition("shard").sortWithinPartitions("shard")
+
+    def shards(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[list[tuple]]:
+        """Rows of whole shards (the first column), of some ``most`` bytes (the last column) at a time."""
         waiting: list[tuple] = []
         size = 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > 1 << 18 and r[1] != waiting[-1][1]:
-                    yield flush(waiting)
+                if size > most and r[0] != waiting[-1][0]:
+                    yield waiting
                     waiting, size = [], 0
                 waiting.append(r)
-                size += len(r[3])
+                size += len(r[-1])
         if waiting:
-            yield flush(waiting)
+            yield waiting
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in shards(batches):
+            found = resolve([alphabet.symbols(r[-1]) for r in rows], [r[1] for r in rows])
+            out = [(r[2], r[3], None if f.all() else np.flatnonzero(f).astype(np.int32)) for r, f in zip(rows, found) if f.any()]
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], [*key, "offsets"])
 
     block = max(4, gram // 2)
 
@@ -259,20 +278,43 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], [*key, "start", "whole", "windows"])
 
-    large = partners.filter(F.col("members") > GROUP).select(*key, "_held").mapInArrow(blocks, "_gram long, _content long, start int, whole long, windows array<bigint>")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stretches of places (unit, start, size) in a content."""
+        for batch in batches:
+            units, held = [], []
+            for raw, places in zip(*(c.to_pylist() for c in batch.columns)):
+                units += [p["unit"] for p in places]
+                held += alphabet.stretch(raw, np.array([p["start"] for p in places]), np.array([p["size"] + length - 1 for p in places]))
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(held, pa.binary())], ["unit", "held"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The units whose two places are the same windows, by the index."""
+        for rows in shards(batches):
+            found = resolve([alphabet.symbols(r[-1]) for r in rows], [1] * len(rows))
+            bad = {r[0] for r, f in zip(rows, found) if not f.all()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({r[0] for r in rows} - bad), pa.int64())], ["unit"])
+
+    large = partners.filter(hot).select(*key, "_held").mapInArrow(blocks, "_gram long, _content long, start int, whole long, windows array<bigint>")
     large = staged(large, f"{label}-blocks")
     place = F.struct("_content", "start")
-    again = staged(large.groupBy("_gram", "whole").agg(F.count("*").alias("times"), F.min(place).alias("first")).filter("times > 1"), f"{label}-again")
-    large = staged(large.join(again, ["_gram", "whole"], "left"), f"{label}-blocks")
+    ends = lambda p: F.array(F.min(p), F.max(p)).alias("ends")
+    again = staged(large.groupBy("_gram", "whole").agg(F.count("*").alias("times"), F.max(F.size("windows")).alias("size"), ends(place)).filter("times > 1"), f"{label}-again")
+    large = staged(large.join(again.select("_gram", "whole", "times", F.col("ends")[0].alias("first")), ["_gram", "whole"], "left"), f"{label}-blocks")
     # blocks that repeat as a whole are settled; one of each still meets the windows of the others
     open_ = large.filter(F.col("times").isNull() | (F.col("first") == place)).select(*key, "times", "start", F.posexplode("windows").alias("i", "window"))
-    again = staged(open_.groupBy("_gram", "window").count().filter("count > 1").select("_gram", "window"), f"{label}-again")
-    single = open_.filter("times is null").join(again, ["_gram", "window"]).select(*key, F.array(F.col("start") + F.col("i")).alias("own"))
-    settled = large.filter("times is not null").select(*key, F.sequence("start", F.col("start") + F.size("windows") - 1).alias("own"))
-    counted = settled.unionByName(single).groupBy(*key).agg(F.flatten(F.collect_list("own")).alias("offsets"))
-    partly = small.mapInArrow(resolved, "_gram long, _content long, offsets array<int>").unionByName(counted)
+    spot = F.struct("_content", (F.col("start") + F.col("i")).alias("start"))
+    twice = staged(open_.groupBy("_gram", "window").agg(F.count("*").alias("times"), ends(spot)).filter("times > 1").select("_gram", "window", "ends"), f"{label}-twice")
+    units = again.select("_gram", F.col("whole").alias("unit"), "size", F.explode("ends").alias("p")).unionByName(twice.select("_gram", F.col("window").alias("unit"), F.lit(1).alias("size"), F.explode("ends").alias("p")))
+    places = units.groupBy("_gram", F.col("p._content").alias("_content")).agg(F.collect_list(F.struct("unit", F.col("p.start").alias("start"), "size")).alias("places"))
+    stretches = contents.join(places, key).select("_held", "places").mapInArrow(cut, "unit long, held binary")
+    same = staged(stretches.repartition("unit").sortWithinPartitions("unit").mapInArrow(confirm, "unit long"), f"{label}-same")
+    window_of = twice.select("_gram", "window").join(same.withColumnRenamed("unit", "window"), "window")
+    apart = open_.filter("times is null").join(window_of, ["_gram", "window"]).select(*key, F.array(F.col("start") + F.col("i")).alias("own"))
+    settled = large.filter("times is not null").join(same.withColumnRenamed("unit", "whole"), "whole").select(*key, F.sequence("start", F.col("start") + F.size("windows") - 1).alias("own"))
+    counted = settled.unionByName(apart).groupBy(*key).agg(F.flatten(F.collect_list("own")).alias("offsets"))
     once = contents.filter("n = 1").select(*key)
-    found = staged(every.unionByName(partly.join(once, key, "left_semi")), f"{label}-found")
+    resolve_rows = lambda rows: rows.mapInArrow(resolved, "_gram long, _content long, offsets array<int>")
+    found = staged(resolve_rows(small).unionByName(resolve_rows(copied)).unionByName(resolve_rows(single)).unionByName(counted.join(once, key, "left_semi")), f"{label}-found")
     spots = records.select("_row", *key, "_lo", "_windows").join(found, key)
     marks = spots.groupBy("_row").agg(F.collect_list(F.struct(F.col("_lo").alias("lo"), F.col("_windows").alias("windows"), "offsets")).alias("found"))
     return texts, marks
