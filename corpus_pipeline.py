@@ -4,8 +4,10 @@ Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; all but the last return the columns of documents. The result is one row
 per piece of a packed sequence.
 
-Nulls: a null text counts as empty throughout. Extra columns of documents are
-kept up to the last stage.
+Nulls: a null text counts as empty throughout, null ids are allowed. Very long
+texts are taken whole; repeated rows and copies leave one row at near-dedup;
+ties are settled by the operators; an empty table gives an empty result. Extra
+columns of documents are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,19 +21,22 @@ from orrery.llm.quality import fit_quality, score_quality
 from orrery.llm.queries import vocabulary
 from orrery.llm.substrings import dedup_substrings
 from orrery.llm.toxicity import fit_toxicity, score_toxicity
+from orrery.llm.windows import shielded
 from orrery.session import staged, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic by their sentences go."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    own, back = shielded(docs, ("held_out", "score", "predicted", "offences"))
+    return score_toxicity(own, model).filter("predicted = 0").select(*own.columns).withColumnsRenamed(back)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored junk by their statistics go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+    own, back = shielded(docs, ("held_out", "score", "predicted"))
+    return score_quality(own, model).filter("predicted = 1").select(*own.columns).withColumnsRenamed(back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +46,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words and more that occur twice go, wherever they stand."""
-    done = dedup_substrings(docs, 35)
-    counted = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return done.withColumns(counted).select(*docs.columns)
+    own, back = shielded(docs, ("n_words", "removed"))
+    counted = {"n_chars": F.length("text").cast(own.schema["n_chars"].dataType)} if "n_chars" in own.columns else {}
+    return dedup_substrings(own, 35).withColumns(counted).select(*own.columns).withColumnsRenamed(back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
