@@ -1,6 +1,7 @@
 import numpy as np
 
-from orrery.llm.topk import segment_rows, top_k
+from orrery.llm import topk
+from orrery.llm.topk import SPLITS, Best, search_block, segment_rows, top_k
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,35 @@ def test_top_k_equals_brute_force(spark):
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (7, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(df, df.filter("vec_id = 0")).collect()] == [(0, 1, 7, 2048 * 1024)]
+
+
+def test_survivors_get_fewer():
+    """Finer bounds and exact scores are computed for the survivors of the coarser bound only."""
+    rng = np.random.default_rng(2)
+    x = np.floor(1024 * (rng.normal(size=(1000, 64)) + 3 * rng.normal(size=(1000, 16)).repeat(4, 1)))
+    q, ids = x[::100], np.arange(1000)
+    best = Best(len(q), 5)
+    met = search_block(best, q, ids[::100], [segment_rows(q, s) for s in SPLITS], x, ids)
+    assert met[0] >= met[1] >= met[2] and met[2] < len(q) * 999 / 4
+    for i, v in enumerate(q):
+        want = sorted((-(v @ x[j]), j) for j in range(1000) if j != 100 * i)[:5]
+        assert list(zip(-best.score[i], best.id[i])) == want
+
+
+def test_null_and_repeated_ids_lengths_and_columns(spark):
+    big = (1 << 60) + 1
+    rows = [(0, [1.0, 0.0], "a"), (0, [0.0, 1.0], "b"), (big, [2.0, 3.0], "c"), (None, [9.0, 9.0], "d"), (5, [1.0], "e"), (6, [], "f"), (7, [1.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query string").withColumn("score", F.lit("x")).repartition(3)
+    got = sorted((r["query_id"], r["vec_id"], r["score"] >> 20) for r in top_k(df, df.filter("vec_id = 0"), 10).collect())
+    assert got == sorted([(0, big, 2), (0, 7, 1), (0, big, 3), (0, 7, 1)])
+    ranks = sorted(r["rank"] for r in top_k(df, df.filter("vec_id = 0"), 10).collect())
+    assert ranks == [1, 1, 2, 2]
+    assert top_k(df, df.filter("vec_id is null")).count() == 0
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, top_k(df, df.filter("vec_id % 30 = 0"), 3).collect()))
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 4 * 32)
+    assert sorted(map(tuple, top_k(df, df.filter("vec_id % 30 = 0"), 3).collect())) == one and len(one) == 30
