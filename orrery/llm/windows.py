@@ -44,7 +44,7 @@ POSITION_BITS = 31  # a column's value has no more bytes
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Columns made on the way (see ``shielded``).
-RESERVED = ("_row", "_hit", "_gram", "_content", "_lo", "_windows", "_inner", "_held", "found")
+RESERVED = ("_row", "_hit", "_rec", "_gram", "_content", "_lo", "_windows", "_inner", "_held", "found")
 _powers: list[np.ndarray] = []
 
 
@@ -192,12 +192,13 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
     marked = np.zeros(BITS, bool)  # at most BITS rows come back
     marked[twice.mapInArrow(bits, "bit int").distinct().toArrow().column("bit").to_numpy()] = True
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
-    own_fields = ["_row", "_hit", "_gram", "_content", "_lo", "_windows", "_inner", "_held"]
-    own_kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    own_fields = ["_row", "_hit", "_rec", "_gram", "_content", "_lo", "_windows", "_inner", "_held"]
+    own_kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, row = sent.value, TaskContext.get().partitionId() << 36
+        rec = row
         for part, raws, symbols, starts in _blocks(batches, at, alphabet):
             r = find_records(symbols, starts, length, gram)
             bit = (r.gram >> np.uint64(8)) % np.uint64(BITS)
@@ -210,24 +211,26 @@ def repeated_windows(docs: DataFrame, alphabet: Alphabet, length: int, gram: int
                     held += alphabet.stretch(raw, r.lo[mine], r.windows[mine] + length - 1)
             n, m = part.num_rows, len(some)
             if m:
-                rows = [row + r.text[some], None, r.gram[some].view(np.int64), r.content[some].view(np.int64), r.lo[some], r.windows[some].astype(np.int32), r.inner[some], held]
+                rows = [row + r.text[some], None, rec + np.arange(m), r.gram[some].view(np.int64), r.content[some].view(np.int64), r.lo[some], r.windows[some].astype(np.int32), r.inner[some], held]
                 cols = [pa.nulls(m, c.type) for c in part.columns] + [pa.nulls(m, k) if v is None else pa.array(v, k) for v, k in zip(rows, own_kinds)]
                 yield pa.RecordBatch.from_arrays(cols, [*names, *own_fields])
             own = [pa.array(row + np.arange(n)), pa.array(np.diff(cuts) > 0), *[pa.nulls(n, k) for k in own_kinds[2:]]]
             yield pa.RecordBatch.from_arrays([*part.columns, *own], [*names, *own_fields])
             row += n
+            rec += m
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _row long, _hit boolean, _gram long, _content long, _lo long, _windows int, _inner boolean, _held binary"
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _row long, _hit boolean, _rec long, _gram long, _content long, _lo long, _windows int, _inner boolean, _held binary"
     kept = staged(docs.mapInArrow(keep, schema), label)
     texts = kept.filter(F.col("_hit").isNotNull()).select(*names, "_row", "_hit")
-    records = kept.filter(F.col("_hit").isNull()).select("_row", "_gram", "_content", "_lo", "_windows", "_inner", "_held")
+    records = kept.filter(F.col("_hit").isNull()).select("_row", "_rec", "_gram", "_content", "_lo", "_windows", "_inner", "_held")
 
     key = ["_gram", "_content"]
-    contents = staged(records.groupBy(*key).agg(F.count("*").alias("n"), F.max("_windows").alias("_windows"), F.max("_inner").alias("_inner"), F.min("_held").alias("_held")), f"{label}-contents")
+    # counted without their symbols, which one record of a content brings along where it has partners
+    contents = staged(records.groupBy(*key).agg(F.count("*").alias("n"), F.max("_inner").alias("_inner"), F.min("_rec").alias("_rec")), f"{label}-contents")
     groups = staged(contents.groupBy("_gram").agg(F.count("*").alias("members")).filter("members > 1"), f"{label}-groups")
-    sized = contents.join(groups, "_gram", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    every = sized.filter("n > 1").select(*key, F.lit(None).cast("array<int>").alias("offsets"))
-    partners = sized.filter("members > 1 or _inner")
+    every = contents.filter("n > 1").select(*key, F.lit(None).cast("array<int>").alias("offsets"))
+    partners = contents.join(groups, "_gram", "left").withColumn("members", F.coalesce("members", F.lit(1))).filter("members > 1 or _inner")
+    partners = staged(partners.join(records.select("_rec", "_held"), "_rec").select("n", *key, "members", "_held"), f"{label}-partners")
     small = partners.filter(F.col("members") <= GROUP).select("n", *key, "_held").repartition("_gram").sortWithinPartitions("_gram")
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
