@@ -37,6 +37,25 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str
     return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).filter("_side = 0").select(*cols, value)
 
 
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, *, later: bool = True) -> DataFrame:
+    """``left`` with the ``value`` of the right row nearest in ``at`` on either side, and its ``distance``; null where there is none.
+
+    A running window each way over the distinct places instead of all pairs of a
+    key: both sides are reduced to them before the shuffle. Of right rows at one
+    place the least value counts; at equal distances the later place does, or,
+    unless ``later``, the one of the lesser value. Null keys match nothing.
+    """
+    spots = right.dropna(subset=[*keys, at]).groupBy(*keys, at).agg(F.min(value).alias("_value")).withColumn("_spot", F.struct(F.col(at).alias("at"), F.col("_value").alias("value"))).drop("_value")
+    places = left.select(*keys, at).dropna().distinct()
+    before = asof(places, spots, keys, at, "_spot").withColumnRenamed("_spot", "_before").withColumn(at, -F.col(at))
+    both = asof(before, spots.withColumn(at, -F.col(at)), keys, at, "_spot").withColumn(at, -F.col(at))
+    back, ahead = F.col(at) - F.col("_before.at"), F.col("_spot.at") - F.col(at)
+    tied = F.lit(True) if later else F.col("_spot.value") < F.col("_before.value")
+    chosen = F.when(F.col("_before").isNull() | (ahead < back) | ((ahead == back) & tied), F.col("_spot")).otherwise(F.col("_before"))
+    found = both.withColumn("_spot", chosen).select(*keys, at, F.col("_spot.value").alias(value), F.abs(F.col("_spot.at") - F.col(at)).alias("distance"))
+    return left.join(found, [*keys, at], "left")
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: float, *, a: tuple[str, str] = ("start", "end"), b: tuple[str, str] = ("start2", "end2")) -> DataFrame:
     """Pairs of spans that overlap, with ``overlap``.
 

@@ -33,13 +33,24 @@ def designations(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH n AS (SELECT DISTINCT p_name FROM part), g AS (SELECT p_name, list_distinct(list_transform(range(1, len(p_name)+2), lambda i: substr('  '||p_name||' ', i, 3))) AS t FROM n)
 SELECT a.p_name AS name, b.p_name AS other, round(len(list_intersect(a.t,b.t))::DOUBLE/(len(a.t)+len(b.t)-len(list_intersect(a.t,b.t))),8) AS likeness FROM g a JOIN g b ON a.p_name<b.p_name WHERE len(list_intersect(a.t,b.t))::DOUBLE/(len(a.t)+len(b.t)-len(list_intersect(a.t,b.t))) >= 0.45""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct names whose trigrams agree by 0.45 or more: an equi-join on trigrams, then counts."""
-    n = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("t", text.trigrams(F.col("p_name")))
-    one = n.select(F.col("p_name").alias("name"), F.size("t").alias("a"), F.explode("t").alias("gram"))
-    two = n.select(F.col("p_name").alias("other"), F.size("t").alias("b"), F.explode("t").alias("gram"))
-    both = one.join(two, "gram").filter("name < other").groupBy("name", "other").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    likeness = F.col("n") / (F.col("a") + F.col("b") - F.col("n"))
-    return both.filter(likeness >= 0.45).select("name", "other", F.round(likeness, 8).alias("likeness"))
+    """Distinct names whose trigrams agree by 0.45 or more.
+
+    Names that agree so far share one of their rarest trigrams: all but
+    ceil(0.45 n) - 1 of them. The equi-join is on these, so frequent trigrams
+    hardly meet.
+    """
+    least = 0.45
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("t", text.trigrams(F.col("name")))
+    grams = n.select("name", F.explode("t").alias("gram"))
+    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("names")), "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("names", "gram"))).alias("r"))
+    size = F.size("r")
+    rare = ranked.select("name", F.col("r.gram").alias("t"), F.explode(F.slice("r", F.lit(1), size - F.ceil(least * size - 1e-9).cast("int") + 1)).alias("g")).select("name", "t", "g.gram")
+    both = rare.join(rare.select(F.col("name").alias("other"), F.col("t").alias("u"), "gram"), "gram")
+    both = both.filter((F.col("name") < F.col("other")) & (F.size("t") >= least * F.size("u")) & (F.size("u") >= least * F.size("t")))
+    # a pair is kept at the first rare trigram that both have
+    shared = F.size(F.array_intersect("t", "u"))
+    likeness = shared / (F.size("t") + F.size("u") - shared)
+    return both.filter(F.col("gram") == F.array_intersect("t", "u")[0]).withColumn("likeness", likeness).filter(F.col("likeness") >= least).select("name", "other", F.round("likeness", 8).alias("likeness"))
 
 
 @query("""

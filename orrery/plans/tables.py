@@ -102,9 +102,11 @@ def ranked_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicographic preference: an exact kind first, then the nearest, ties to the least key; none is kept as missing."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nation"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.col("c_nationkey").alias("nation"))
-    off = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    best = matching.best_match(s, c, ["nation"], ["s_suppkey"], [F.col("c_mktsegment") != "BUILDING", off, F.col("c_custkey")], off <= 5000)
-    return best.select("s_suppkey", "c_custkey", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2).alias("off"))
+    found = s.withColumn("at", F.col("s_acctbal"))
+    for name, kind in (("first", F.col("c_mktsegment") == "BUILDING"), ("second", ~F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False)))):
+        of_kind = c.filter(kind).select("nation", F.col("c_acctbal").alias("at"), F.col("c_custkey").alias(name))
+        found = matching.nearest(found, of_kind, ["nation"], "at", name, later=False).withColumn(name, F.when(F.col("distance") <= 5000, F.struct(F.col(name).alias("c_custkey"), F.round("distance", 2).alias("off")))).drop("distance")
+    return found.select("s_suppkey", F.coalesce("first", "second").alias("best")).select("s_suppkey", "best.c_custkey", "best.off")
 
 
 @query("""
@@ -138,9 +140,8 @@ def nearest_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest sign-up of the same user either side; ties to the later one."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", micros("ts").alias("us"))
     left = e.filter("event_type = 'error'").select("event_id", "user_id", "us")
-    right = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("nearest_id"), F.col("us").alias("us2"))
-    best = matching.best_match(left, right, ["user_id"], ["event_id"], [F.abs(F.col("us2") - F.col("us")), -F.col("us2"), F.col("nearest_id")])
-    return best.select("event_id", "nearest_id")
+    right = e.filter("event_type = 'signup'").select("user_id", "us", F.col("event_id").alias("nearest_id"))
+    return matching.nearest(left, right, ["user_id"], "us", "nearest_id").select("event_id", "nearest_id")
 
 
 @query("""
@@ -197,12 +198,11 @@ def earlier_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_suppkey, md5(string_agg(concat(l_orderkey,':',l_linenumber,':',l_returnflag), ',' ORDER BY l_orderkey, l_linenumber, l_returnflag)) AS print, count(*) AS n FROM lineitem WHERE l_quantity>40 GROUP BY 1""")
+SELECT l_suppkey, bit_xor(('0x'||substr(md5(concat_ws(':',l_orderkey,l_linenumber,l_returnflag)),1,15))::BIGINT) AS print, count(*) AS n FROM lineitem GROUP BY 1""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 40")
-    rows = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_returnflag")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["l_orderkey"], r["l_linenumber"], r["l_returnflag"])), ",")
-    return li.groupBy("l_suppkey").agg(F.md5(text.cast("binary")).alias("print"), F.count("*").alias("n"))
+    """A digest of each supplier's lines, whatever their order; lines have keys, so none cancels another."""
+    row = F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_returnflag").cast("binary"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.bit_xor(F.conv(F.substring(row, 1, 15), 16, 10).cast("long")).alias("print"), F.count("*").alias("n"))
 
 
 @query("""
