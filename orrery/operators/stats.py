@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.session import staged
+
 MAD_SCALE = 1.4826
 
 
@@ -26,10 +28,36 @@ def nearest_rank(x: str, p: float) -> Column:
     return F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {x})"), F.lit(0))
 
 
-def upper_median(x: str) -> Column:
-    """The upper of the two middle values, 1 where there is none."""
-    values = F.sort_array(F.collect_list(x))
-    return F.coalesce(F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int")), F.lit(1.0))
+def order_statistics(df: DataFrame, groups: list[str], x: str, ranks: dict[str, Column]) -> DataFrame:
+    """For each group, ``n`` and the values at the given ranks (from 0, in terms of ``n``); null and NaN left out.
+
+    Exact, and no task or state holds a group: values are counted, the counts
+    range-partitioned, and ranks are the counts of the partitions before plus
+    those before within the partition. A rank outside 0 .. n - 1 gives null.
+    """
+    counts = df.select(*groups, real(x).alias("_x")).filter("_x is not null").groupBy(*groups, "_x").agg(F.count("*").alias("_n"))
+    # staged: the partition's number must not change between the two passes
+    ranged = staged(counts.repartitionByRange(*groups, "_x").withColumn("_part", F.spark_partition_id()), "ranks")
+    parts = ranged.groupBy(*groups, "_part").agg(F.sum("_n").alias("_m"))
+    whole = Window.partitionBy(*groups)
+    sums = F.sum("_m").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_part").alias("_p"), F.coalesce(sums, F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("n"))
+    same = F.col("_part") == F.col("_p")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*groups, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(parts, same).withColumn("_end", end)
+    picked = [F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")), F.col("_x"))).alias(name) for name, rank in ranks.items()]
+    return placed.groupBy(*groups).agg(F.max("n").alias("n"), *picked)
+
+
+def exact_percentiles(df: DataFrame, groups: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles by linear interpolation between ranks, of groups of any size (see ``order_statistics``)."""
+    at = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in shares.items()}
+    ranks = {f"_{name}_{side}": cut(at[name]) for name in at for side, cut in (("low", F.floor), ("high", F.ceil))}
+    found = order_statistics(df, groups, x, ranks)
+    mixed = [(F.col(f"_{n}_low") + (at[n] - F.floor(at[n])) * (F.col(f"_{n}_high") - F.col(f"_{n}_low"))).alias(n) for n in at]
+    return found.select(*groups, "n", *mixed)
 
 
 def capped_scores(df: DataFrame, groups: list[str], raw: str, p: float = 0.9, *, counted: Column | None = None) -> DataFrame:
@@ -45,9 +73,9 @@ def capped_scores(df: DataFrame, groups: list[str], raw: str, p: float = 0.9, *,
 
 def mad(df: DataFrame, groups: list[str], x: str) -> DataFrame:
     """Median and scaled median absolute deviation of each group."""
-    med = df.groupBy(*groups).agg(percentile(x, 0.5).alias("median"))
+    med = exact_percentiles(df, groups, x, {"median": 0.5}).drop("n")
     off = df.join(med, groups).withColumn("_off", F.abs(F.col(x) - F.col("median")))
-    return off.groupBy(*groups).agg(F.first("median").alias("median"), (MAD_SCALE * percentile("_off", 0.5)).alias("mad"))
+    return med.join(exact_percentiles(off, groups, "_off", {"mad": 0.5}).drop("n"), groups).withColumn("mad", MAD_SCALE * F.col("mad"))
 
 
 def trimmed_range(df: DataFrame, groups: list[str], x: str, share: float = 0.01) -> DataFrame:

@@ -27,10 +27,12 @@ SELECT event_type, round(quantile_cont(value,0.05),6) AS p05, round(quantile_con
  list_sort(list(value))[len(list(value))//2+1] AS upper_median FROM events GROUP BY 1""")
 def percentile_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated, nearest-rank and upper-median quantiles side by side."""
-    p = lambda q: stats.percentile("value", q)
-    ranked = table(spark, sf_dir, "events").withColumn("n", F.count("value").over(Window.partitionBy("event_type"))).withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value")))
-    upper = F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("value")))
-    return ranked.groupBy("event_type").agg(F.round(p(0.05), 6).alias("p05"), F.round(p(0.95) - p(0.05), 6).alias("amplitude"), stats.nearest_rank("value", 0.9).alias("rank90"), upper.alias("upper_median"))
+    n = F.col("n")
+    ranks = {"low": F.floor(0.05 * (n - 1)), "low2": F.ceil(0.05 * (n - 1)), "high": F.floor(0.95 * (n - 1)), "high2": F.ceil(0.95 * (n - 1)), "rank90": F.ceil(0.9 * n - 1e-9) - 1, "upper_median": F.floor(n / 2)}
+    found = stats.order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", ranks)
+    between = lambda q, a, b: F.col(a) + (q * (n - 1) - F.floor(q * (n - 1))) * (F.col(b) - F.col(a))
+    p05, p95 = between(0.05, "low", "low2"), between(0.95, "high", "high2")
+    return found.select("event_type", F.round(p05, 6).alias("p05"), F.round(p95 - p05, 6).alias("amplitude"), "rank90", "upper_median")
 
 
 @query("""

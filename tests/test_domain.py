@@ -113,3 +113,38 @@ def test_recommendation_and_skyline(spark):
     got = {r["bin"]: r for r in finds.skyline(e, ["k"]).collect()}
     assert got[10]["height"] == 30 and got[15]["height"] == 37.5 and got[20]["height"] == 45 and got[20]["conflict"] and got[0]["height"] == 12
     assert len(got) == 360
+
+
+def test_order_statistics_equal_sorted_values(spark):
+    """Ties, nulls, NaN, null groups and single values; the percentiles are numpy's."""
+    import numpy as np
+
+    from orrery.operators import stats
+
+    rng = np.random.default_rng(5)
+    values = {"a": np.r_[rng.normal(size=501), np.zeros(300)], "b": rng.integers(0, 4, 100).astype(float), None: np.array([7.0]), "d": np.array([])}
+    rows = [(g, float(v)) for g, own in values.items() for v in own] + [("a", None), ("b", float("nan")), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: r for r in stats.exact_percentiles(df, ["g"], "x", {"p05": 0.05, "p50": 0.5, "p1": 1.0}).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        assert r["n"] == len(values[g])
+        np.testing.assert_allclose([r["p05"], r["p50"], r["p1"]], np.percentile(values[g], [5, 50, 100]), atol=1e-12)
+
+
+def test_nearest_equals_all_pairs(spark):
+    """Ties either way, equal places, null keys and times, keys without a partner."""
+    import random
+
+    from orrery.operators import matching
+
+    random.seed(6)
+    left = [(i, random.choice("abc"), random.randrange(60)) for i in range(200)] + [(900, None, 5), (901, "z", 5), (902, "a", None)]
+    right = [(random.choice("abx"), random.randrange(0, 60, 4), v) for v in range(60)] + [(None, 5, 99), ("a", None, 98)]
+    l, r = spark.createDataFrame(left, "id int, k string, at int"), spark.createDataFrame(right, "k string, at int, v int")
+    for later in (True, False):
+        got = {x["id"]: x["v"] for x in matching.nearest(l, r, ["k"], "at", "v", later=later).collect()}
+        assert len(got) == len(left)
+        for i, k, at in left:
+            near = [(abs(b - at), -b, v) if later else (abs(b - at), v) for a, b, v in right if a is not None and a == k and at is not None and b is not None]
+            assert got[i] == (min(near)[-1] if near else None)
