@@ -33,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a temporary folder is made
-    once and kept for the session.
+    Where a local session names none (tests) a temporary folder is made once and
+    kept for the session; on a cluster the setting is required.
     """
     sc = spark.sparkContext
     found = sc.getConf().get(CHECKPOINT_CONF) or getattr(sc, "_orrery_shared", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orrery-")
         sc._orrery_shared = found
         sc.setCheckpointDir(found)
