@@ -115,10 +115,16 @@ WITH e AS (SELECT *, epoch_us(ts) AS us, floor((epoch_us(ts) + {-9 * HOUR})/{24
 g AS (SELECT night, us - lag(us + 60000000) OVER (PARTITION BY night ORDER BY us, event_id) AS gap, (event_type <> lag(event_type) OVER (PARTITION BY night ORDER BY us, event_id)) AS switched FROM e)
 SELECT cast(night AS BIGINT) AS night, switched, count(*) AS n, cast(quantile_disc(gap, 0.5) AS BIGINT) AS median_gap, cast(quantile_disc(gap, 0.9) AS BIGINT) AS p90_gap FROM g WHERE gap >= 0 GROUP BY 1,2""")
 def switch_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pauses between events of a night, by whether the kind changed, with nearest-rank quantiles."""
-    e = timed(spark, sf_dir).withColumn("night", F.floor((F.col("us") - 9 * HOUR) / F.lit(24 * HOUR)))
-    w = Window.partitionBy("night").orderBy("us", "event_id")
-    g = e.select("night", (F.col("us") - F.lag(F.col("us") + 60000000).over(w)).alias("gap"), (F.col("event_type") != F.lag("event_type").over(w)).alias("switched"))
+    """Pauses between events of a night, by whether the kind changed, with nearest-rank quantiles.
+
+    Windows span an hour, not a night; an hour's first event follows the last one of the hours before.
+    """
+    e = timed(spark, sf_dir).select(F.floor((F.col("us") - 9 * HOUR) / F.lit(24 * HOUR)).alias("night"), F.floor(F.col("us") / F.lit(HOUR)).alias("hour"), F.struct("us", "event_id", "event_type").alias("own"))
+    ends = e.groupBy("night", "hour").agg(F.max("own").alias("last"))
+    ends = ends.select("night", "hour", F.lag("last").over(Window.partitionBy("night").orderBy("hour")).alias("carried"))
+    before = F.coalesce(F.lag("own").over(Window.partitionBy("night", "hour").orderBy("own")), F.col("carried"))
+    g = e.join(ends, ["night", "hour"]).withColumn("before", before)
+    g = g.select("night", (F.col("own.us") - F.col("before.us") - 60000000).alias("gap"), (F.col("own.event_type") != F.col("before.event_type")).alias("switched"))
     return g.filter("gap >= 0").groupBy("night", "switched").agg(F.count("*").alias("n"), stats.nearest_rank("gap", 0.5).cast("long").alias("median_gap"), stats.nearest_rank("gap", 0.9).cast("long").alias("p90_gap"))
 
 
