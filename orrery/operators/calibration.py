@@ -79,9 +79,9 @@ def choose_flats(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def choose_biases(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The bias of the same gain, offset and bin of the nearest night, the later on a tie."""
+    """The bias of the same gain, offset and bin of the nearest night, the later on a tie, then the one of more frames."""
     nights = F.datediff("s.night", "g.night")
-    return _choice(groups, sets, "BIAS", ["gain", "offset", "bin_x"], F.lit(True), [F.abs(nights), -nights], F.col("s.frames") >= BUILDABLE)
+    return _choice(groups, sets, "BIAS", ["gain", "offset", "bin_x"], F.lit(True), [F.abs(nights), -nights, -F.col("s.frames")], F.col("s.frames") >= BUILDABLE)
 
 
 def coverage(frames: DataFrame) -> DataFrame:

@@ -84,3 +84,25 @@ def moonfree_brightness(samples: DataFrame, preferred: list[str], *, least: int,
     rank = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("night")))
     newest = first.withColumn("_r", rank).filter(F.col("_r") <= nights)
     return newest.groupBy("site").agg(F.round(F.median("sky"), 2).alias("sky"), F.count("*").alias("nights"))
+
+
+def subsets(members: str, least: int, most: int) -> Column:
+    """All subsets of ``least`` to ``most`` members of an array, in its order; for arrays of at most 20."""
+    def chosen(mask: Column) -> Column:
+        return F.filter(members, lambda _, i: F.getbit(mask, i) == 1)
+
+    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.size(members)).cast("int") - 1), lambda m: F.bit_count(m).between(least, most))
+    return F.transform(masks, chosen)
+
+
+def claims(waiting: DataFrame, running: DataFrame, target: str, order: list[str]) -> DataFrame:
+    """The first waiting task, by ``order``, of each target without a running one; an aggregate, so it combines before the shuffle."""
+    free = waiting.join(running.select(target).distinct(), target, "left_anti")
+    first = free.groupBy(target).agg(F.min(F.struct(*order)).alias("_f"))
+    return first.select(target, *[F.col(f"_f.{c}").alias(c) for c in order])
+
+
+def stale_keys(stored: DataFrame, now: DataFrame, key: str, checksum: str) -> DataFrame:
+    """Keys that have inputs now and whose stored checksum is missing or another."""
+    old = stored.select(key, F.col(checksum).alias("_old"))
+    return now.join(old, key, "left").filter(~F.col(checksum).eqNullSafe(F.col("_old"))).select(key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import sky, text
 from orrery.functions.time import micros
 from orrery.operators import catalogue, matching, upsert
+from orrery.operators.images import weighted_update
 from orrery.plans.registry import query
 from orrery.session import shared_dir, table
 
@@ -231,3 +232,81 @@ def catalogue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation2"), F.floor("s_acctbal").alias("step2"))
     near = lambda a, b: a.join(b.drop("key"), (F.col("nation") == F.col("nation2")) & (F.col("step") == F.col("step2")))
     return matching.cross_match(c, s, ["key"], near).groupBy("matched").agg(F.count("*").alias("n"), F.sum("key").cast("long").alias("keys"))
+
+
+@query("""
+SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority) AS level, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def cube_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by both columns, each of them and neither, with the level of each row."""
+    cube = table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority")
+    return cube.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+
+
+@query("""
+SELECT s_suppkey, count(c_custkey) AS customers, bool_or(c_custkey IS NULL) AS orphan FROM (SELECT * FROM customer WHERE c_acctbal<0) c RIGHT JOIN supplier ON c_nationkey=s_nationkey AND c_custkey=s_suppkey GROUP BY 1""")
+def right_join_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the right side, with what matches on the left."""
+    c, s = table(spark, sf_dir, "customer").filter("c_acctbal < 0"), table(spark, sf_dir, "supplier")
+    both = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") == F.col("s_suppkey")), "right")
+    return both.groupBy("s_suppkey").agg(F.count("c_custkey").alias("customers"), F.bool_or(F.col("c_custkey").isNull()).alias("orphan"))
+
+
+@query("""
+SELECT a.n_regionkey AS region, a.n_name||'+'||b.n_name AS members, 2 AS size FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_name<b.n_name
+UNION ALL SELECT a.n_regionkey, a.n_name||'+'||b.n_name||'+'||c.n_name, 3 FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_name<b.n_name JOIN nation c ON a.n_regionkey=c.n_regionkey AND b.n_name<c.n_name""")
+def member_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs and triples of each region's nations, as the bodies of a sky event are combined."""
+    r = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_set("n_name")).alias("all"))  # nations: a table of fixed size
+    s = r.select("region", F.explode(catalogue.subsets("all", 2, 3)).alias("m"))
+    return s.select("region", F.array_join("m", "+").alias("members"), F.size("m").alias("size"))
+
+
+@query("""
+WITH q AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS r FROM orders WHERE o_orderstatus<>'F')
+SELECT o_custkey, o_orderkey, o_orderpriority FROM q WHERE r=1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='P')""")
+def claim_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One waiting task per target, the most urgent and oldest, for targets that nothing works on."""
+    o = table(spark, sf_dir, "orders")
+    return catalogue.claims(o.filter("o_orderstatus <> 'F'"), o.filter("o_orderstatus = 'P'"), "o_custkey", ["o_orderpriority", "o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("""
+WITH x AS (SELECT o_custkey, bit_xor(o_orderkey) FILTER (WHERE o_orderstatus='F') AS stored, bit_xor(o_orderkey) AS now, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1)
+SELECT o_custkey, n, round(total,2) AS total FROM x WHERE stored IS DISTINCT FROM now""")
+def checksum_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets whose inputs no longer have the stored checksum, computed anew."""
+    o = table(spark, sf_dir, "orders")
+    stored = o.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.bit_xor("o_orderkey").alias("sum"))
+    now = o.groupBy("o_custkey").agg(F.bit_xor("o_orderkey").alias("sum"))
+    stale = catalogue.stale_keys(stored, now, "o_custkey", "sum")
+    return o.join(stale, "o_custkey", "left_semi").groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""
+SELECT user_id, cast(ts AS DATE)::VARCHAR AS frame, arg_min(event_id, (abs(value-10), event_id)) AS event_id, round(min(abs(value-10)),6) AS off FROM events WHERE event_type<>'error' AND abs(value-10)<=5 GROUP BY 1,2""")
+def nearest_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a frame's detections within reach of a source, the nearest."""
+    off = F.abs(F.col("value") - 10)
+    e = table(spark, sf_dir, "events").filter((F.col("event_type") != "error") & (off <= 5))
+    return e.groupBy("user_id", F.to_date("ts").cast("string").alias("frame")).agg(F.min_by("event_id", F.struct(off, F.col("event_id"))).alias("event_id"), F.round(F.min(off), 6).alias("off"))
+
+
+@query("""
+SELECT l_suppkey, sum(l_quantity)::DOUBLE AS weight, round(sum(l_quantity*l_discount)/sum(l_quantity),9) AS mean,
+ round(sum(l_quantity*l_discount*l_discount)/sum(l_quantity)-pow(sum(l_quantity*l_discount)/sum(l_quantity),2),9) AS variance, count(*) AS n FROM lineitem GROUP BY 1""")
+def weighted_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mean and variance of each group from sums that merge in any order."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_discount").cast("double").alias("x"), F.col("l_quantity").cast("double").alias("w"))
+    return weighted_update(li, ["l_suppkey"], "x", "w").select("l_suppkey", "weight", F.round("mean", 9).alias("mean"), F.round("variance", 9).alias("variance"), "n")
+
+
+@query("""
+WITH p AS (SELECT vec_id, (embedding[1]::DOUBLE+0.5)*360 AS ra, embedding[2]::DOUBLE*80 AS dec, embedding[3]::DOUBLE*5000 AS a, embedding[4]::DOUBLE*5000 AS b FROM embeddings),
+q AS (SELECT *, radians(sqrt(a*a+b*b)*25/3.6e6) AS d, atan2(a,b) AS pa, radians(dec) AS d0 FROM p), s AS (SELECT *, greatest(-1,least(1,sin(d0)*cos(d)+cos(d0)*sin(d)*cos(pa))) AS s FROM q)
+SELECT vec_id, round(((ra+degrees(atan2(sin(pa)*sin(d)*cos(d0), cos(d)-sin(d0)*s)))%360+360)%360,7) AS ra, round(degrees(asin(s)),7) AS dec FROM s""")
+def moved_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions after 25 years of proper motion."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+    p = table(spark, sf_dir, "embeddings").select("vec_id", ((at(0) + 0.5) * 360).alias("ra"), (at(1) * 80).alias("dec"), (at(2) * 5000).alias("a"), (at(3) * 5000).alias("b"))
+    ra, dec = sky.propagated("ra", "dec", "a", "b", F.lit(25.0))
+    return p.select("vec_id", F.round(ra, 7).alias("ra"), F.round(dec, 7).alias("dec"))

@@ -66,26 +66,44 @@ def dark_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.dark_gaps(frames(spark, sf_dir)).select("gain", "rung", "exposure", "lights", "nights")
 
 
-@query()
+_CHOSEN = _FRAMES + """
+, g AS (SELECT *, row_number() OVER (ORDER BY object, night, exposure, gain, set_temp) AS gid FROM lights),
+biases AS (SELECT gid, arg_min(frames, (abs(s.night-l.night), l.night-s.night, -frames)) AS have FROM g l JOIN sets s ON s.kind='BIAS' AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x GROUP BY 1)
+"""
+
+
+@query(_CHOSEN + """
+, dp AS (SELECT gid, s.frames, s.exposure AS dark_exposure, abs(l.night-s.night) AS nights, coalesce(abs(l.set_temp-s.set_temp),10) AS off, abs(l.exposure-s.exposure)<=0.01*l.exposure AS same,
+  abs(l.exposure-s.exposure)<=0.01*l.exposure AND coalesce(abs(l.set_temp-s.set_temp)<=1, false) AS exact
+  FROM g l JOIN sets s ON s.kind='DARK' AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x WHERE s.frames>=3 AND coalesce(abs(l.set_temp-s.set_temp),10)<=10),
+darks AS (SELECT gid, arg_min(exact, (NOT (frames>=20 AND exact), off, NOT same, -dark_exposure, nights)) AS exact FROM dp GROUP BY 1),
+fs AS (SELECT DISTINCT gain, "offset", night, bin_x FROM frames WHERE kind='FLAT'),
+flats AS (SELECT gid, arg_min(s.night=l.night, (NOT (l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset"), abs(s.night-l.night), l.night-s.night)) AS exact FROM g l JOIN fs s USING (bin_x) GROUP BY 1)
+SELECT object, cast(night AS VARCHAR) AS night, exposure, gain, set_temp, lights, CASE WHEN d.gid IS NULL THEN 'missing' WHEN d.exact THEN 'exact' ELSE 'fallback' END AS dark_grade,
+ CASE WHEN f.gid IS NULL THEN 'missing' WHEN f.exact THEN 'exact' ELSE 'fallback' END AS flat_grade, CASE WHEN b.gid IS NULL THEN 'missing' WHEN b.have>=3 THEN 'exact' ELSE 'fallback' END AS bias_grade
+FROM g LEFT JOIN darks d ON d.gid=g.gid LEFT JOIN flats f ON f.gid=g.gid LEFT JOIN biases b ON b.gid=g.gid""")
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dark, flat and bias of every group of lights; tested on literal frames."""
+    """Dark, flat and bias of every group of lights."""
     c = calibration.coverage(frames(spark, sf_dir))
     return c.select("object", F.col("night").cast("string").alias("night"), "exposure", "gain", "set_temp", "lights", "dark_grade", "flat_grade", "bias_grade")
 
 
-@query()
+@query(_CHOSEN + """
+, per AS (SELECT gain, "offset", bin_x, sum(CASE WHEN have IS NULL THEN lights ELSE 0 END)::BIGINT AS missing, sum(CASE WHEN have<20 THEN lights ELSE 0 END)::BIGINT AS thin, max(night) AS latest FROM g LEFT JOIN biases USING (gid) GROUP BY 1,2,3)
+SELECT gain, missing, thin, row_number() OVER (ORDER BY missing DESC, thin DESC, latest DESC, gain NULLS FIRST, "offset", bin_x) AS priority FROM per WHERE missing>0 OR thin>0""")
 def bias_backlog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Camera setups in want of biases; tested on literal frames."""
+    """Camera setups in want of biases."""
     return calibration.bias_backlog(frames(spark, sf_dir)).select("gain", "missing", "thin", "priority")
 
 
 @query("""
-WITH a AS (SELECT o_orderkey AS key, o_orderstatus AS etag FROM orders WHERE o_orderkey%5<>0), b AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey%7=0 THEN 'X' ELSE o_orderstatus END AS etag FROM orders WHERE o_orderkey%11<>0)
+WITH a AS (SELECT o_orderkey AS key, o_orderstatus AS etag FROM orders), b AS (SELECT l_orderkey AS key, max(l_linestatus) AS etag FROM lineitem WHERE l_returnflag<>'R' GROUP BY 1 UNION ALL SELECT -c_custkey, c_mktsegment FROM customer)
 SELECT change, count(*) AS n FROM (SELECT CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.key=b.key WHERE a.etag IS DISTINCT FROM b.etag) GROUP BY 1""")
 def inventory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing against the stored inventory: new, changed and vanished keys."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("etag"))
-    stored, listed = o.filter("key % 5 <> 0"), o.filter("key % 11 <> 0").withColumn("etag", F.when(F.col("key") % 7 == 0, "X").otherwise(F.col("etag")))
+    stored = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("etag"))
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_linestatus").alias("etag"))
+    listed = lines.unionByName(table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("key"), F.col("c_mktsegment").alias("etag")))
     return upsert.inventory_changes(stored, listed).groupBy("change").agg(F.count("*").alias("n"))
 
 

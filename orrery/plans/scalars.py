@@ -161,6 +161,6 @@ def magnitudes_and_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, len(regexp_extract_all(text,'[.!?]')) AS stops, md5(lower(substr(trim(text),1,40))) AS head FROM documents""")
+SELECT doc_id, len(regexp_extract_all(text,'[.!?]')) AS stops, md5(lower(trim(text))) AS digest FROM documents""")
 def document_scraps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[.!?]"), F.lit(0))).cast("long").alias("stops"), F.md5(F.lower(F.substring(F.trim("text"), 1, 40)).cast("binary")).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[.!?]"), F.lit(0))).cast("long").alias("stops"), F.md5(F.lower(F.trim("text")).cast("binary")).alias("digest"))

@@ -151,24 +151,26 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.last_wins(e, ["user_id", "event_type"], ["us", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-_NEW = "(SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, 'NEW' AS c_mktsegment FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1)"
+_NEW = "(SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal, 'NEW' AS c_mktsegment FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1 UNION ALL SELECT -s_suppkey, s_acctbal, 'NEW' FROM supplier)"
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    old = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal", "c_mktsegment")
-    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
-    return old, o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal")).withColumn("c_mktsegment", F.lit("NEW"))
+    """All customers as stored, and rows to write: urgent orders' customers, and suppliers under keys not stored yet."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    known = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    fresh = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return old, known.unionByName(fresh).withColumn("c_mktsegment", F.lit("NEW"))
 
 
 @query(f"""
-WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey%3<>0), new AS {_NEW}
+WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer), new AS {_NEW}
 SELECT * FROM new UNION ALL SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)""")
 def upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert(*_incoming(spark, sf_dir), ["c_custkey"])
 
 
 @query(f"""
-WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey%3<>0), new AS {_NEW}
+WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer), new AS {_NEW}
 SELECT coalesce(o.c_custkey,n.c_custkey) AS c_custkey, coalesce(n.c_acctbal,o.c_acctbal) AS c_acctbal, coalesce(o.c_mktsegment,n.c_mktsegment) AS c_mktsegment
 FROM old o FULL JOIN new n ON o.c_custkey=n.c_custkey""")
 def upsert_some_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,14 +178,14 @@ def upsert_some_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey%3<>0), new AS {_NEW}
+WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer), new AS {_NEW}
 SELECT * FROM old UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM old)""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.insert_absent(*_incoming(spark, sf_dir), ["c_custkey"])
 
 
 @query(f"""
-WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey%3<>0), new AS {_NEW}
+WITH old AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer), new AS {_NEW}
 SELECT coalesce(o.c_custkey,n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change, o.c_acctbal AS old_c_acctbal, n.c_acctbal AS new_c_acctbal
 FROM old o FULL JOIN new n ON o.c_custkey=n.c_custkey WHERE o.c_acctbal IS DISTINCT FROM n.c_acctbal""")
 def change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
