@@ -51,8 +51,16 @@ def rotated(ra, dec, rows: list[list[float]]) -> tuple[Column, Column]:
 
 
 # The rotation from galactic to equatorial (J2000) axes, and from B1950 to J2000.
-GALACTIC = [[-0.0548755604, 0.4941094279, -0.8676661490], [-0.8734370902, -0.4448296300, -0.1980763734], [-0.4838350155, 0.7469822445, 0.4559837762]]
-B1950 = [[0.9999257080, -0.0111789372, -0.0048590035], [0.0111789372, 0.9999375134, -0.0000271626], [0.0048590036, -0.0000271579, 0.9999881946]]
+GALACTIC = [
+    [-0.0548755604162154, 0.4941094278755837, -0.8676661490190047],
+    [-0.8734370902348850, -0.4448296299600112, -0.1980763734312015],
+    [-0.4838350155487132, 0.7469822444972189, 0.4559837761750669],
+]
+B1950 = [
+    [0.9999256782, -0.0111820611, -0.0048579477],
+    [0.0111820610, 0.9999374784, -0.0000271765],
+    [0.0048579479, -0.0000271474, 0.9999881997],
+]
 
 
 def galactic_to_equatorial(l, b) -> tuple[Column, Column]:  # noqa: E741

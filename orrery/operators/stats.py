@@ -60,22 +60,30 @@ def exact_percentiles(df: DataFrame, groups: list[str], x: str, shares: dict[str
     return found.select(*groups, "n", *mixed)
 
 
+def by_group(a: DataFrame, b: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the columns of ``b``, which has one row per group; null equals null, no groups mean one row."""
+    same = F.lit(True)
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"_b_{g}"))
+    return a.join(b.withColumnsRenamed({g: f"_b_{g}" for g in groups}), same, how).drop(*[f"_b_{g}" for g in groups])
+
+
 def capped_scores(df: DataFrame, groups: list[str], raw: str, p: float = 0.9, *, counted: Column | None = None) -> DataFrame:
     """``score``: the raw weight over the group's ``p`` percentile, at most 1; 0 where either is missing.
 
     ``counted`` says which rows the percentile takes.
     """
-    value = F.when(counted, F.col(raw)) if counted is not None else F.col(raw)
-    reference = df.groupBy(*groups).agg(percentile(value, p).alias("reference"))
+    taken = df.filter(counted) if counted is not None else df
+    reference = exact_percentiles(taken, groups, raw, {"reference": p}).drop("n")
     good = (F.col(raw) > 0) & (F.col("reference") > 0)
-    return df.join(reference, groups, "left").withColumn("score", F.coalesce(F.when(good, F.least(F.lit(1.0), F.col(raw) / F.when(F.col("reference") > 0, F.col("reference")))), F.lit(0.0)))
+    return by_group(df, reference, groups, "left").withColumn("score", F.coalesce(F.when(good, F.least(F.lit(1.0), F.col(raw) / F.when(F.col("reference") > 0, F.col("reference")))), F.lit(0.0)))
 
 
 def mad(df: DataFrame, groups: list[str], x: str) -> DataFrame:
     """Median and scaled median absolute deviation of each group."""
     med = exact_percentiles(df, groups, x, {"median": 0.5}).drop("n")
-    off = df.join(med, groups).withColumn("_off", F.abs(F.col(x) - F.col("median")))
-    return med.join(exact_percentiles(off, groups, "_off", {"mad": 0.5}).drop("n"), groups).withColumn("mad", MAD_SCALE * F.col("mad"))
+    off = by_group(df, med, groups).withColumn("_off", F.abs(F.col(x) - F.col("median")))
+    return by_group(med, exact_percentiles(off, groups, "_off", {"mad": 0.5}).drop("n"), groups).withColumn("mad", MAD_SCALE * F.col("mad"))
 
 
 def trimmed_range(df: DataFrame, groups: list[str], x: str, share: float = 0.01) -> DataFrame:
@@ -87,15 +95,19 @@ def trimmed_range(df: DataFrame, groups: list[str], x: str, share: float = 0.01)
 
 
 def clipped(df: DataFrame, groups: list[str], x: str, sigmas: float = 3.0, rounds: int = 3) -> DataFrame:
-    """Median and deviation after ``rounds`` rounds of leaving out what is over ``sigmas`` off the median.
+    """Median, deviation and number after ``rounds`` rounds of leaving out what is over ``sigmas`` off the median.
 
-    A round is an aggregation and a filter against it; no group is collected.
+    Null and NaN take no part. A round is an exact median by range-partitioned
+    counts, a deviation and a filter against both; no state holds a group.
     """
-    left = df.select(*groups, x).filter(F.col(x).isNotNull())
-    for _ in range(rounds):
-        now = left.groupBy(*groups).agg(percentile(x, 0.5).alias("_m"), F.stddev_pop(x).alias("_s"))
-        left = left.join(now, groups).filter(F.abs(F.col(x) - F.col("_m")) <= sigmas * F.col("_s")).select(*groups, x)
-    return left.groupBy(*groups).agg(percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("deviation"), F.count("*").alias("n"))
+    left = df.select(*groups, real(x).alias(x)).filter(F.col(x).isNotNull())
+    for i in range(rounds + 1):
+        median = exact_percentiles(left, groups, x, {"median": 0.5})
+        now = by_group(median, left.groupBy(*groups).agg(F.stddev_pop(x).alias("deviation")), groups)
+        if i < rounds:
+            now = staged(now.drop("n"), "clip")
+            left = by_group(left, now, groups).filter(F.abs(F.col(x) - F.col("median")) <= sigmas * F.col("deviation")).select(*groups, x)
+    return now.select(*groups, "median", "deviation", "n")
 
 
 def weighted_line(x: str, y: str, w: str) -> tuple[Column, Column]:

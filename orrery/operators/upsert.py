@@ -55,9 +55,23 @@ def inventory_changes(stored: DataFrame, listed: DataFrame, key: str = "key", et
     return found if complete else found.filter("change <> 'removed'")
 
 
-def mirror(path: str, result: DataFrame, partition: str) -> None:
-    """Publish and prune: replace the partitions that the result has, and drop none of the others' rows."""
+def mirror(path: str, result: DataFrame, partition: str, scope: list | None = None) -> None:
+    """Publish and prune: replace the partitions that the result has.
+
+    ``scope`` names the partitions that were computed (a list of the caller,
+    such as the nights of a run): those of them that the result lacks are
+    deleted. Partitions outside it stay as they are.
+    """
     result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    if not scope:
+        return
+    spark = result.sparkSession
+    kept = {r[0] for r in result.filter(F.col(partition).isin(scope)).select(F.col(partition).cast("string")).distinct().collect()}  # at most the scope
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for value in {str(v) for v in scope} - kept:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, value)
+        gone = jvm.org.apache.hadoop.fs.Path(path, name)
+        gone.getFileSystem(conf).delete(gone, True)
 
 
 def later_twins(df: DataFrame, same: list[str], by: str) -> DataFrame:

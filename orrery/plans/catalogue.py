@@ -152,7 +152,7 @@ def box_over_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT vec_id, radians((embedding[1]::DOUBLE+0.5)*360) AS l, radians(embedding[2]::DOUBLE*90) AS b FROM embeddings), v AS (SELECT vec_id, cos(b)*cos(l) AS x, cos(b)*sin(l) AS y, sin(b) AS z FROM p),
-w AS (SELECT vec_id, -0.0548755604*x+0.4941094279*y-0.8676661490*z AS x, -0.8734370902*x-0.4448296300*y-0.1980763734*z AS y, -0.4838350155*x+0.7469822445*y+0.4559837762*z AS z FROM v)
+w AS (SELECT vec_id, -0.0548755604162154*x+0.4941094278755837*y-0.8676661490190047*z AS x, -0.8734370902348850*x-0.4448296299600112*y-0.1980763734312015*z AS y, -0.4838350155487132*x+0.7469822444972189*y+0.4559837761750669*z AS z FROM v)
 SELECT vec_id, round((degrees(atan2(y,x))+360)%360,6) AS ra, round(degrees(asin(greatest(-1,least(1,z)))),6) AS dec FROM w""")
 def galactic_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select("vec_id", ((F.col("embedding")[0].cast("double") + 0.5) * 360).alias("l"), (F.col("embedding")[1].cast("double") * 90).alias("b"))
@@ -310,3 +310,14 @@ def moved_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select("vec_id", ((at(0) + 0.5) * 360).alias("ra"), (at(1) * 80).alias("dec"), (at(2) * 5000).alias("a"), (at(3) * 5000).alias("b"))
     ra, dec = sky.propagated("ra", "dec", "a", "b", F.lit(25.0))
     return p.select("vec_id", F.round(ra, 7).alias("ra"), F.round(dec, 7).alias("dec"))
+
+
+@query("""
+WITH p AS (SELECT vec_id, radians((embedding[1]::DOUBLE+0.5)*360) AS a, radians(embedding[2]::DOUBLE*90) AS d FROM embeddings), v AS (SELECT vec_id, cos(d)*cos(a) AS x, cos(d)*sin(a) AS y, sin(d) AS z FROM p),
+w AS (SELECT vec_id, 0.9999256782*x-0.0111820611*y-0.0048579477*z AS x, 0.0111820610*x+0.9999374784*y-0.0000271765*z AS y, 0.0048579479*x-0.0000271474*y+0.9999881997*z AS z FROM v)
+SELECT vec_id, round((degrees(atan2(y,x))+360)%360,6) AS ra, round(degrees(asin(greatest(-1,least(1,z)))),6) AS dec FROM w""")
+def b1950_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of the B1950 frame in that of J2000."""
+    p = table(spark, sf_dir, "embeddings").select("vec_id", ((F.col("embedding")[0].cast("double") + 0.5) * 360).alias("ra"), (F.col("embedding")[1].cast("double") * 90).alias("dec"))
+    ra, dec = sky.b1950_to_j2000("ra", "dec")
+    return p.select("vec_id", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"))

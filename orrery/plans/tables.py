@@ -39,7 +39,8 @@ SELECT count(*) AS customers, round(median(total),4) AS median_total FROM
  (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1 HAVING sum(o_totalprice) >= 1000000)""")
 def having_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")).filter("total >= 1000000")
-    return totals.agg(F.count("*").alias("customers"), F.round(F.median("total"), 4).alias("median_total"))
+    found = stats.exact_percentiles(totals, [], "total", {"median_total": 0.5})
+    return found.select(F.coalesce("n", F.lit(0)).alias("customers"), F.round("median_total", 4).alias("median_total"))
 
 
 @query("""
