@@ -56,7 +56,9 @@ def exact_percentiles(df: DataFrame, groups: list[str], x: str, shares: dict[str
     at = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in shares.items()}
     ranks = {f"_{name}_{side}": cut(at[name]) for name in at for side, cut in (("low", F.floor), ("high", F.ceil))}
     found = order_statistics(df, groups, x, ranks)
-    mixed = [(F.col(f"_{n}_low") + (at[n] - F.floor(at[n])) * (F.col(f"_{n}_high") - F.col(f"_{n}_low"))).alias(n) for n in at]
+    # the weights of the built-in percentile, so that results agree to the last digit
+    share = {n: at[n] - F.floor(at[n]) for n in at}
+    mixed = [F.when(share[n] > 0, (F.ceil(at[n]) - at[n]) * F.col(f"_{n}_low") + share[n] * F.col(f"_{n}_high")).otherwise(F.col(f"_{n}_low")).alias(n) for n in at]
     return found.select(*groups, "n", *mixed)
 
 
