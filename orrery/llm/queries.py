@@ -97,6 +97,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "offences")
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of formatted conversations, from the formatted text and its loss ranges."""
     from orrery.llm.chat import parse_turns, unescape
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
+    "op11_audit": op11_audit,
 }
 
 _CONTROL = r"(\\|<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|\[/OUT\]|<\|image\|>|<\|audio\|>|<\|document\|>)"
@@ -149,4 +156,21 @@ e AS (SELECT *, len(regexp_replace(text, '{_CONTROL}', '\\\\\\1', 'g')) + len(re
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
  CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op11_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, list_filter(regexp_split_to_array(text, '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
+f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM w),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+st AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+own AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS own, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS earlier FROM st),
+r AS (SELECT m.*, filter_order, CAST(step AS INTEGER) AS step, own, fails[own] AS hit, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone FROM m, own),
+g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0) AS removed, coalesce(sum(n) FILTER (WHERE gone AND hit), 0) AS redundant,
+  coalesce(sum(n) FILTER (WHERE hit AND len(list_filter(fails, lambda z: z)) = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND hit), 0) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+ CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g""",
 }
