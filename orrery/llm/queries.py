@@ -103,6 +103,19 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.bpe import decode_bpe, encode_bpe
+
+    vocab = vocabulary("word_bpe_49k.json")
+    coded = decode_bpe(encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, packed=True), vocab)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of formatted conversations, from the formatted text and its loss ranges."""
     from orrery.llm.chat import parse_turns, unescape
@@ -130,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_toxicity": op10_toxicity,
     "op11_audit": op11_audit,
+    "op12_bpe": op12_bpe,
 }
 
 _CONTROL = r"(\\|<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|\[/OUT\]|<\|image\|>|<\|audio\|>|<\|document\|>)"
