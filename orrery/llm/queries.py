@@ -116,6 +116,38 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which a tenth of the ids get words that repeat from some place on to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.when(chosen, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    a, p = F.col("a"), F.col("p")
+    repeated = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", a + (i - a) % p)))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.llm.runs import periodic_runs
+
+    found = periodic_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumns({"best": best, "lines": F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))})
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.less div best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of formatted conversations, from the formatted text and its loss ranges."""
     from orrery.llm.chat import parse_turns, unescape
@@ -144,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_audit": op11_audit,
     "op12_bpe": op12_bpe,
+    "op13_runs": op13_runs,
 }
 
 _CONTROL = r"(\\|<s>|</s>|\[INST\]|\[/INST\]|\[OUT\]|\[/OUT\]|<\|image\|>|<\|audio\|>|<\|document\|>)"
@@ -187,4 +220,21 @@ g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (WHERE NOT go
   FROM r GROUP BY part, filter_order, step, own)
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g""",
+    "op13_runs": """
+WITH b AS (SELECT doc_id, text, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> CAST(k AS INTEGER)) & 1))),
+  lambda c, k: xor(c >> 1, CASE WHEN xor(c, k) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295::BIGINT) AS c FROM documents),
+h AS (SELECT doc_id, xor(c, 4294967295) AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS l FROM b),
+a AS (SELECT *, h // 10 AS g, len(l) AS n, CASE WHEN len(l) > 0 AND h % 10 = 0 THEN (h // 10) % len(l) END AS a FROM h),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN l ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN l[i + 1] ELSE l[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS l FROM a),
+w AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(l) AS word FROM d),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM islands GROUP BY doc_id, start, length),
+steps AS (SELECT doc_id, i, sum(s) AS s FROM (SELECT doc_id, start + period AS i, 1 AS s FROM runs UNION ALL SELECT doc_id, start + length, -1 FROM runs) GROUP BY doc_id, i),
+kept AS (SELECT doc_id, i, word, coalesce(sum(s) OVER (PARTITION BY doc_id ORDER BY i), 0) AS depth FROM w LEFT JOIN steps USING (doc_id, i)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM kept WHERE depth = 0 GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS n_runs, arg_min(start, (-length, start, period)) AS start, arg_min(length, (-length, start, period)) AS length, arg_min(period, (-length, start, period)) AS period,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+ sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
