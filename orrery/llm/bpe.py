@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from orrery.llm.packing import UNUSUAL, WORD
 from orrery.llm.pieces import slices
 
-#: Words (twice as many at most) that a worker remembers, some 200 bytes each.
-MEMO_WORDS = 200_000
-#: Bytes of text that are encoded at a time (a longer text alone).
-BLOCK_BYTES = 16 << 20
+#: Words (three times as many at most) that a worker remembers, some 200 bytes each.
+MEMO_WORDS = 100_000
+#: Bytes of text whose new words are encoded together (a longer text alone), and ids that are decoded together.
+BLOCK_BYTES, BLOCK_IDS = 16 << 20, 1 << 20
 #: A pair that is never merged.
 NEVER = np.int32(2**31 - 1)
-_coders: dict[str, "PairCoder"] = {}
+_loaded: dict[tuple[type, str], object] = {}
 
 
 def byte_letters() -> list[str]:
@@ -83,14 +83,6 @@ class PairCoder:
         self.uneven = first[self.product] < rank
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], rank[order].astype(np.int32)
-        tokens = [""] * size
-        for token, i in {**vocab, **added}.items():
-            tokens[i] = token
-        known = np.array([bool(t) for t in tokens])
-        self.known = np.r_[known, False]
-        whole = [t.encode() for t in tokens]
-        # tokens are joined by spaces: a text's first token goes without
-        self.raw = pa.array([*(b" " + w for w in whole), *whole], pa.large_binary())
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -98,7 +90,7 @@ class PairCoder:
     def load(cls, path: str) -> "PairCoder":
         from tokenizers import Tokenizer
 
-        told = json.loads(Path(path).read_text(encoding="utf-8"))
+        told = read_vocabulary(path)
         model = told["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         return cls(model["vocab"], merges, {t["content"]: t["id"] for t in told["added_tokens"]}, model.get("end_of_word_suffix") or "", Tokenizer.from_file(path))
@@ -118,12 +110,12 @@ class PairCoder:
         symbol = np.r_[self.inner[raw], np.int32(self.size - 1)].astype(np.int64)
         symbol[ends - 1] = self.final[raw[ends - 1]]
         # neighbours within the word; n is outside
-        after = np.arange(1, n + 2)
+        after = np.arange(1, n + 2, dtype=np.int32)
         after[ends - 1] = n
-        before = np.arange(-1, n)
+        before = np.arange(-1, n, dtype=np.int32)
         before[ends - sizes] = n
         rank = np.full(n + 1, NEVER)
-        inside = np.flatnonzero(after[:n] < n)
+        inside = np.flatnonzero(after[:n] < n).astype(np.int32)
         rank[inside] = self.rank_of(symbol[inside], symbol[inside + 1])
         index: dict[int, list[np.ndarray]] = {}  # of each active rank, where its pair was met
         active: list[int] = []
@@ -202,8 +194,10 @@ class PairCoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; words of this and the last block or more are remembered."""
-        split = [self.split(t) if t else [] for t in texts]
-        need = set().union(*split)
+        need: set[str] = set()
+        for t in texts:  # split once more below: the words of a block, all at once, would take many times its bytes
+            if t:
+                need.update(self.split(t))
         fresh = []
         for w in need:
             if w in self.added:
@@ -215,11 +209,28 @@ class PairCoder:
                     fresh.append(w)
         self.learn(fresh)
         get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, self.split(t))) if t else b"" for t in texts]
         if len(self.words) > MEMO_WORDS:
             self.older, self.words = self.words if len(self.words) <= 2 * MEMO_WORDS else {}, {}
         return out
 
+
+class TokenTable:
+    """Decodes ids: their tokens, joined by spaces."""
+
+    def __init__(self, tokens: dict[str, int]):
+        listed = [b""] * (1 + max(tokens.values()))
+        for token, i in tokens.items():
+            listed[i] = token.encode()
+        self.known = np.array([*map(bool, listed), False])
+        # a text's first token goes without the space before it
+        self.raw = pa.array([*(b" " + t for t in listed), *listed], pa.large_binary())
+
+    @classmethod
+    def load(cls, path: str) -> "TokenTable":
+        told = read_vocabulary(path)
+        return cls({**told["model"]["vocab"], **{t["content"]: t["id"] for t in told["added_tokens"]}})
+
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
         """The texts of ids in a row, cut at ``edges``: tokens joined by spaces."""
         ids = np.minimum(ids.astype(np.int64), len(self.known) - 1)
@@ -234,10 +245,15 @@ class PairCoder:
         return found.cast(pa.string())
 
 
-def coder(path: str) -> PairCoder:
-    if path not in _coders:
-        _coders[path] = PairCoder.load(path)
-    return _coders[path]
+def read_vocabulary(path: str) -> dict:
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def loaded(kind: type, path: str):
+    """One of each kind and path in a worker."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind.load(path)
+    return _loaded[kind, path]
 
 
 def encode_bpe(docs: DataFrame, vocab: str, *, text_col: str = "text", out_col: str = "ids", packed: bool = False) -> DataFrame:
@@ -249,7 +265,7 @@ def encode_bpe(docs: DataFrame, vocab: str, *, text_col: str = "text", out_col:
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
             for part in slices(batch, sizes, BLOCK_BYTES):
-                ids = pa.array(coder(vocab).encode(part.column(at).to_pylist()), pa.binary())
+                ids = pa.array(loaded(PairCoder, vocab).encode(part.column(at).to_pylist()), pa.binary())
                 if not packed:
                     lengths = pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4
                     values = pa.Array.from_buffers(pa.int32(), int(lengths.sum()), [None, ids.buffers()[2]])
@@ -268,7 +284,7 @@ def decode_bpe(docs: DataFrame, vocab: str, *, ids_col: str = "ids", out_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pc.fill_null((pc.binary_length if packed else pc.list_value_length)(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-            for part in slices(batch, lengths // 4 if packed else lengths, BLOCK_BYTES // 4):
+            for part in slices(batch, lengths // 4 if packed else lengths, BLOCK_IDS):
                 ids = part.column(at)
                 if packed:
                     raws = [r or b"" for r in ids.to_pylist()]
@@ -276,6 +292,6 @@ def decode_bpe(docs: DataFrame, vocab: str, *, ids_col: str = "ids", out_col: st
                 else:
                     ids = pc.fill_null(ids, pa.scalar([], ids.type))
                     flat, sizes = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).view(np.uint32), pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*part.columns, coder(vocab).decode(flat, np.r_[0, np.cumsum(sizes)])], [*names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, loaded(TokenTable, vocab).decode(flat, np.r_[0, np.cumsum(sizes)])], [*names, out_col])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), f"`{out_col}` string"]))

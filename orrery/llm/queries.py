@@ -107,7 +107,8 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.bpe import decode_bpe, encode_bpe
 
     vocab = vocabulary("word_bpe_49k.json")
-    coded = decode_bpe(encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, packed=True), vocab)
+    coded = encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, packed=True).select("doc_id", "ids")
+    coded = decode_bpe(coded, vocab)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

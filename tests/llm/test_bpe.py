@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from orrery.llm import bpe
-from orrery.llm.bpe import PairCoder, byte_letters, decode_bpe, encode_bpe
+from orrery.llm.bpe import PairCoder, TokenTable, byte_letters, decode_bpe, encode_bpe
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["Hello, it's 42 o'clock!!", "", "a\tb\n\nc  ''s x'll", "été À ß ñ ü×÷", "naïve — dash", "<|endoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|>z", "<|ENDOFTEXT|>", "IT'S!'S", "\x1ca\x85b\xa0c", "ΑΣ İ ǅ", "a_b-c @#$%", "x" * 3000, "aaaaaaa hahahaha aaaa", "日本語 \U0001f600 é", "①Ⅷﬁ", "é é", " 　x", None]
@@ -23,20 +23,20 @@ def unpack(raw):
     return np.frombuffer(raw, "<u4").tolist()
 
 
-def decoded(coder, raw):
+def decoded(table, raw):
     ids = np.frombuffer(raw, "<u4")
-    return coder.decode(ids, np.array([0, len(ids)])).to_pylist()[0]
+    return table.decode(ids, np.array([0, len(ids)])).to_pylist()[0]
 
 
 def test_equals_library(lib):
-    own, rnd = PairCoder.load(VOCAB), random.Random(0)
+    own, table, rnd = PairCoder.load(VOCAB), TokenTable.load(VOCAB), random.Random(0)
     letters = "abcdeilnorst ABé-.,'12 \nßΣ中\x85"
     texts = ODD + ["".join(rnd.choice(letters) for _ in range(rnd.randrange(60))) for _ in range(2000)]
     texts += pq.ParquetFile("/root/testdata/sf0.01/documents.parquet").read(columns=["text"])["text"].to_pylist()
     for text, raw in zip(texts, own.encode(texts)):
         want = lib.encode(text or "", add_special_tokens=False).ids
         assert unpack(raw) == want, (text or "")[:80]
-        assert decoded(own, raw) == lib.decode(want, skip_special_tokens=False), (text or "")[:80]
+        assert decoded(table, raw) == lib.decode(want, skip_special_tokens=False), (text or "")[:80]
 
 
 def one_by_one(word, rank, suffix):
