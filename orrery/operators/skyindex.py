@@ -31,11 +31,8 @@ BASE_TURN = [1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7]
 
 
 def _spread(v: Column) -> Column:
-    """The bits of a number at the even places of another."""
-    v = v.cast("long")
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    """The bits of a number at the even places of another: its binary digits, read to base 4."""
+    return F.conv(F.bin(v.cast("long")), 4, 10).cast("long")
 
 
 def sky_pixel(ra, dec, order: int = ORDER) -> Column:
@@ -92,7 +89,7 @@ def pixel_reach(order: int) -> float:
     return _angle(at(2 / 3, math.pi / (4 * side)), at(1 - (1 - 1 / side) ** 2 / 3, 0.0))
 
 
-def cone_cover(ra: float, dec: float, radius: float, order: int = ORDER, most: int = 256) -> list[tuple[int, int]]:
+def cone_cover(ra: float, dec: float, radius: float, order: int = ORDER, most: int = 64) -> list[tuple[int, int]]:
     """Ranges (first, last) of pixels that hold every point within ``radius`` degrees.
 
     Pixels are cut in four as long as the border has at most ``most`` of them;
@@ -125,11 +122,11 @@ def cone_cover(ra: float, dec: float, radius: float, order: int = ORDER, most: i
 
 
 def in_ranges(column: str, ranges: list[tuple[int, int]]) -> Column:
-    """A filter that Parquet scans take: any of the ranges."""
-    found = F.lit(False)
-    for lo, hi in ranges:
-        found |= F.col(column).between(lo, hi)
-    return found
+    """A filter that Parquet scans take: any of the ranges, as a tree of even depth."""
+    parts = [f"`{column}` BETWEEN {lo} AND {hi}" for lo, hi in ranges] or ["false"]
+    while len(parts) > 1:
+        parts = [f"({' OR '.join(parts[i : i + 2])})" for i in range(0, len(parts), 2)]
+    return F.expr(parts[0])
 
 
 def write_by_pixel(df: DataFrame, path: str, *, ra: str = "ra", dec: str = "dec", order: int = ORDER, files: int | None = None, group_bytes: int | None = None) -> None:
