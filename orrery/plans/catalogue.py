@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from orrery.functions import sky, text
 from orrery.functions.time import micros
 from orrery.operators import catalogue, matching, upsert
 from orrery.operators.images import weighted_update
+from orrery.operators.mirrors import Mirror
 from orrery.plans.registry import query
 from orrery.session import shared_dir, table
 
@@ -321,3 +324,17 @@ def b1950_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select("vec_id", ((F.col("embedding")[0].cast("double") + 0.5) * 360).alias("ra"), (F.col("embedding")[1].cast("double") * 90).alias("dec"))
     ra, dec = sky.b1950_to_j2000("ra", "dec")
     return p.select("vec_id", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"))
+
+
+@query("""
+SELECT l_shipmode AS file, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity, CAST(sum(l_orderkey) AS BIGINT) AS keys, count(*) FILTER (WHERE l_linestatus = 'new') AS fresh
+FROM (SELECT CAST(l_suppkey % 7 AS VARCHAR) AS l_shipmode, l_quantity, l_orderkey, 'new' AS l_linestatus FROM lineitem) GROUP BY 1""")
+def versioned_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version built in two runs, the first cut short, over one that was there."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).cast("string").alias("file"), "l_quantity", "l_orderkey")
+    m = Mirror(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/mirror-{uuid.uuid4().hex}", "file")
+    m.build(li.withColumn("status", F.lit("old")), 1)
+    new = li.withColumn("status", F.lit("new"))
+    m.build(new, 2, limit=3)
+    m.build(new, 2)
+    return m.read(verify=True).groupBy("file").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("quantity"), F.sum("l_orderkey").alias("keys"), F.count_if(F.col("status") == "new").alias("fresh"))
