@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.time import MICROS_PER_HOUR, micros
 from orrery.plans.registry import query
-from orrery.streaming import jobs
+from orrery.session import shared_dir
+from orrery.streaming import delivery, jobs
 
 HOUR = MICROS_PER_HOUR
 
@@ -70,3 +73,49 @@ def stream_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watches opened and ended per user."""
     s = jobs.table_stream(spark, sf_dir, "events").select("user_id", (micros("ts") / 1e6).alias("at"), "value")
     return jobs.run_once(jobs.watched(s, "user_id", "at", "value", start=80, fade=30, timeout=172_800.0), [], "append", lambda left: jobs.last_timeouts(left, "user_id", 172_800.0))
+
+
+@query("""
+SELECT event_type, (floor(epoch_us(ts) / 1e6 / 7200) + 0.5) * 7200 AS at, round(sum(w * v) / sum(w) / 1e6, 6) AS mean, round(100 / sqrt(sum(w)), 9) AS error, count(*) AS n, round((max(v) - min(v)) / 1e6, 6) AS range
+FROM (SELECT *, greatest(1, round(1e4 / pow(1 + user_id % 5, 2))) AS w, round(value * 1e6) AS v FROM events) GROUP BY ALL""")
+def stream_live_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves of two hours' bins, re-made in part as rows arrive."""
+    s = jobs.table_stream(spark, sf_dir, "events").withColumns({"us": micros("ts"), "error": (1 + F.col("user_id") % 5).cast("double")})
+    bins = jobs.run_once(delivery.live_bins(s, ["event_type"], F.col("us") / 1e6, "value", "error", 7200), ["event_type", "bin"])
+    curve = delivery.live_curve(bins, ["event_type"], 7200)
+    return curve.withColumns({"mean": F.round("mean", 6), "error": F.round("error", 9), "range": F.round("range", 6)})
+
+
+@query("""
+WITH r AS (SELECT event_type AS topic, event_id AS id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 50),
+l AS (SELECT topic, CASE WHEN topic < 'd' THEN 0 WHEN topic < 'q' THEN 100 ELSE max(id) - 40 END AS seen, min(id) AS first, max(id) AS newest, count(*) AS held FROM r GROUP BY topic)
+SELECT topic, id, value, seen > 0 AND held >= 50 AND first > seen + 1 AS refetch FROM r JOIN l USING (topic) WHERE CASE WHEN seen = 0 THEN id = newest ELSE id > seen END""")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What listeners of each kind of event have missed: one new, one too far behind, one a little."""
+    s = jobs.table_stream(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.col("event_id").alias("id"), "value")
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    ring = delivery.EventRing(spark, f"{base}/ring", s.schema, size=50)
+    jobs.each_batch(s, ring.append, base)
+    ring.trim(0)
+    newest = {r[0]: r[1] for r in ring.events().groupBy("topic").agg(F.max("id")).collect()}  # a row for each kind
+    return ring.catch_up({t: 0 if t < "d" else 100 if t < "q" else n - 40 for t, n in newest.items()})
+
+
+@query("""
+SELECT user_id * 10 + length(event_type) AS alert, min(event_id) AS event_id, 'sent' AS state, 1 + CAST(user_id % 2 AS INTEGER) AS tries FROM events WHERE value > 260 GROUP BY user_id, length(event_type)""")
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert for each user and kind, claimed from the stream; sends for users of odd number fail once."""
+    s = jobs.table_stream(spark, sf_dir, "events").filter("value > 260").select((F.col("user_id") * 10 + F.length("event_type")).alias("alert"), "event_id")
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    outbox = delivery.AlertOutbox(spark, f"{base}/outbox", "alert long, event_id long", "alert")
+    jobs.each_batch(s, lambda df, batch: outbox.claim(df, batch, [F.col("event_id")]), base)
+    tried: set[int] = set()
+
+    def send(alert: dict) -> None:
+        if alert["alert"] // 10 % 2 and alert["alert"] not in tried:
+            tried.add(alert["alert"])
+            raise delivery.SendFailed
+
+    while outbox.deliver(send, most=10_000):
+        pass
+    return outbox.states().select("alert", "event_id", "state", F.col("tries").cast("int").alias("tries"))

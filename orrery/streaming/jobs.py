@@ -53,6 +53,12 @@ def run_once(stream: DataFrame, keys: list[str], mode: str = "update", rest: Cal
     return done.unionByName(staged(rest(states), "stream-rest"))
 
 
+def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], base: str) -> None:
+    """Hand every micro-batch of what there is to ``write``, which may get one again after a restart; ``base`` holds the checkpoint."""
+    q = stream.writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").start()
+    q.awaitTermination()
+
+
 def windowed(stream: DataFrame, at: str, length: str, aggregates: list[Column], *, slide: str | None = None, keys: list[str] = (), late: str = "2 hours", start: str | None = None) -> DataFrame:
     """Aggregates by (sliding) event-time window and keys, under a watermark."""
     timed = stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
