@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,60 @@ def set_runs(hits: DataFrame, keys: list[str], at: str, items: str, id_col: str,
         raise RuntimeError(f"runs did not settle in {max_rounds} rounds")
     named = run_of.select(F.col("_id").alias("_key"), F.col("_run").alias(name))
     return hits.drop(name).join(named, hits[id_col] == named["_key"], "left").drop("_key").withColumn(name, F.coalesce(name, id_col))
+
+
+def separated_peaks(peaks: DataFrame, keys: list[str], at: str, height: str, apart: float, *, width: float | None = None, max_rounds: int = 1000) -> DataFrame:
+    """The ``peaks`` that stay when, from the highest down, each removes those nearer than ``apart`` to it.
+
+    Of equal heights the earlier goes first; ``at`` is unique in its key. A peak
+    is settled once all higher ones in reach are, so stretches of ``width`` are
+    settled side by side, each with the peaks in reach of its ends; what depends
+    on a peak that another stretch has not settled yet waits for the next round.
+    Rounds grow with the longest chain of stretches that wait for one another,
+    and each takes the unsettled peaks, and the kept ones in their reach, only.
+    Peaks with a null key, place or height are left out.
+    """
+    width = max(width or 64 * apart, apart)
+    rows = peaks.dropna(subset=[*keys, at, height]).select(*keys, F.col(at).cast("double").alias("_at"), F.col(height).cast("double").alias("_height"), F.lit(0).alias("_state"))
+    home = F.floor(F.col("_at") / width)
+    # a peak near an end of its stretch is shown to the stretch beyond as well
+    shown = F.array_distinct(F.array(home, F.floor((F.col("_at") - apart) / width), F.floor((F.col("_at") + apart) / width)))
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at", ignore_index=True)
+        place, level, state, own = part["_at"].to_numpy(), part["_height"].to_numpy(), part["_state"].to_numpy().copy(), part["_own"].to_numpy()
+        order = np.lexsort((place, -level))
+        rank = np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        lo, hi = np.searchsorted(place, place - apart, "right"), np.searchsorted(place, place + apart, "left")
+        for i in order:
+            if state[i]:
+                continue
+            near = slice(lo[i], max(hi[i], i + 1))
+            if (state[near] == 1).any():
+                state[i] = 2
+            elif own[i] and not ((state[near] == 0) & (rank[near] < rank[i])).any():
+                state[i] = 1
+        part["_state"] = state
+        return part[part["_own"]].drop(columns=["_own", "_stretch"])
+
+    kept, left = None, staged(rows, "peaks")
+    for _ in range(max_rounds):
+        spread = left.select("*", F.explode(shown).alias("_stretch")).withColumn("_own", F.col("_stretch") == home)
+        done = staged(spread.groupBy(*keys, "_stretch").applyInPandas(settle, left.schema), "peaks")
+        found = done.filter("_state = 1").select(*keys, "_at")
+        kept = found if kept is None else kept.unionByName(found)
+        open_ = done.filter("_state = 0")
+        if open_.isEmpty():
+            break
+        # a kept peak still removes unsettled ones beyond its stretch, once
+        left = staged(done.filter("_state < 2"), "peaks")
+        settled_near = left.filter("_state = 1").select(*keys, "_at").withColumn("_w", F.explode(F.array(home - 1, home, home + 1)))
+        waiting = left.filter("_state = 0").select(*keys, home.alias("_w")).distinct()
+        useful = settled_near.join(waiting, [*keys, "_w"], "left_semi").select(*keys, "_at").distinct()
+        again = left.filter("_state = 1").join(useful, [*keys, "_at"], "left_semi")
+        left = staged(left.filter("_state = 0").unionByName(again), "peaks")
+        kept = staged(kept, "peaks-kept")
+    else:
+        raise RuntimeError(f"peaks did not settle in {max_rounds} rounds")
+    return peaks.withColumn("_at", F.col(at).cast("double")).join(kept.distinct(), [*keys, "_at"], "left_semi").drop("_at")

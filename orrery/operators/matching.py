@@ -138,3 +138,25 @@ def cross_match(local: DataFrame, other: DataFrame, keys: list[str], by_place) -
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def rematched(choices: DataFrame, left: DataFrame, right: DataFrame, changed: DataFrame, group: list[str], match, value: str) -> DataFrame:
+    """Recorded choices after candidates have changed: only groups with a changed candidate are matched anew.
+
+    ``choices`` has the columns of ``left`` and ``value``, the choice recorded
+    (null: none); ``changed`` names the groups whose candidates were added,
+    removed or altered since (the rows that a change list gives; repeats do no
+    harm); ``match(left, right)`` is what made the choices. Rows of ``left`` that
+    have no recorded choice are matched too. The result is that of matching all
+    anew, with ``was``, the choice before; groups without a change are read from
+    the record alone, and of ``right`` only the changed groups are.
+    """
+    touched = changed.select(*group).distinct()
+    known = choices.select(*left.columns, F.col(value).alias("was"))
+    stale = known.join(touched, group, "left_semi")
+    fresh = left.join(known.select(*left.columns), left.columns, "left_anti").withColumn("was", F.lit(None).cast(choices.schema[value].dataType))
+    again = stale.unionByName(fresh)
+    wanted = again.select(*group).distinct()
+    anew = match(again, right.join(wanted, group, "left_semi"))
+    kept = known.join(touched, group, "left_anti").withColumn(value, F.col("was"))
+    return kept.unionByName(anew.select(*kept.columns))

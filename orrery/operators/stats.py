@@ -170,6 +170,29 @@ def shrunk_rates(df: DataFrame, levels: list[str], kept: Column, prior: float =
     return rows
 
 
+def leave_one_out_rates(df: DataFrame, levels: list[str], unit: str, kept: Column, prior: float = 40.0) -> DataFrame:
+    """``shrunk_rates`` of the finest cells of each unit (a night), as fitted to all rows but the unit's own.
+
+    Nothing is refitted: rows are counted once by unit and finest cell, and a
+    unit's counts are taken from those of the whole at every level that it has
+    cells of. Columns: unit, levels, n and k (without the unit), rate, own_n and
+    own_k. Rows with a null unit or level take no part.
+    """
+    base = staged(df.dropna(subset=[unit, *levels]).groupBy(unit, *levels).agg(F.count("*").alias("n"), F.sum(kept.cast("long")).alias("k")), "unit-counts")
+    sums = F.sum("n").alias("n"), F.sum("k").alias("k")
+    whole = base.agg(*sums)  # one row
+    mine = base.groupBy(unit).agg(F.sum("n").alias("own_n"), F.sum("k").alias("own_k"))
+    parent = mine.crossJoin(F.broadcast(whole)).select(unit, ((F.col("k") - F.col("own_k") + 1) / (F.col("n") - F.col("own_n") + 2)).alias("_parent"))
+    for i in range(1, len(levels) + 1):
+        cell = levels[:i]
+        mine = base.groupBy(unit, *cell).agg(F.sum("n").alias("own_n"), F.sum("k").alias("own_k"))
+        both = mine.join(base.groupBy(*cell).agg(*sums), cell).join(parent, [unit, *cell[:-1]])
+        both = both.withColumns({"n": F.col("n") - F.col("own_n"), "k": F.col("k") - F.col("own_k")})
+        both = both.withColumn("rate", (F.col("k") + prior * F.col("_parent")) / (F.col("n") + prior)).drop("_parent")
+        parent = both.select(unit, *cell, F.col("rate").alias("_parent"))
+    return both.select(unit, *levels, "n", "k", "rate", "own_n", "own_k")
+
+
 def neighbourhood_max(df: DataFrame, groups: list[str], x: str, score: str, *, least: int = 5, ratios: tuple[float, ...] = (2.0, 4.0, 8.0)) -> DataFrame:
     """``best``: the greatest score among rows whose ``x`` is within a ratio of the row's own.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.operators import stats
+from orrery.functions.time import micros
+from orrery.operators import fits, stats
 from orrery.plans.registry import query
 from orrery.session import table
 
@@ -180,3 +181,42 @@ def exposure_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = F.array_join(F.transform(items, lambda r: F.concat(r["l_linenumber"].cast("string"), F.lit("x"), r["l_quantity"].cast("long").cast("string"))), ",")
     p = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").groupBy("l_orderkey").agg(plan.alias("plan"))
     return p.groupBy("plan").agg(F.count("*").alias("orders"), F.floor((F.median("l_orderkey") * 2 + 1) / 2).cast("long").alias("middle"))
+
+
+@query("""
+WITH e AS (SELECT event_type AS kind, CAST(epoch_us(ts) // 21600000000 % 4 AS BIGINT) AS part, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS night, CAST(value > 50 AS INT) AS kept FROM events),
+f AS (SELECT u.night, kind, part, kept FROM e JOIN (SELECT DISTINCT night FROM e) u ON e.night <> u.night),
+r0 AS (SELECT u.night, (coalesce(sum(kept), 0) + 1) / (count(kept) + 2) AS rate FROM (SELECT DISTINCT night FROM e) u LEFT JOIN f USING (night) GROUP BY u.night),
+r1 AS (SELECT c.night, c.kind, (coalesce(sum(f.kept), 0) + 40 * any_value(r0.rate)) / (count(f.kept) + 40) AS rate FROM (SELECT DISTINCT night, kind FROM e) c JOIN r0 USING (night) LEFT JOIN f ON f.night = c.night AND f.kind = c.kind GROUP BY 1, 2),
+r2 AS (SELECT c.night, c.kind, c.part, own_n, own_k, count(f.kept) AS n, (coalesce(sum(f.kept), 0) + 40 * any_value(r1.rate)) / (count(f.kept) + 40) AS rate FROM (SELECT night, kind, part, count(*) AS own_n, sum(kept) AS own_k FROM e GROUP BY ALL) c JOIN r1 USING (night, kind)
+ LEFT JOIN f ON f.night = c.night AND f.kind = c.kind AND f.part = c.part GROUP BY ALL)
+SELECT night, kind, part, n, round(rate, 9) AS rate, own_n, CAST(own_k AS BIGINT) AS own_k FROM r2""")
+def held_out_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept rates of each night's cells, as fitted without that night."""
+    us = micros("ts")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), (F.floor(us / 21_600_000_000) % 4).alias("part"), F.floor(us / 86_400_000_000).alias("night"), "value")
+    rates = stats.leave_one_out_rates(e, ["kind", "part"], "night", F.col("value") > 50)
+    return rates.select("night", "kind", "part", "n", F.round("rate", 9).alias("rate"), "own_n", "own_k")
+
+
+@query("""
+WITH p AS (SELECT p_brand, p_retailprice AS y, CAST(p_size AS DOUBLE) AS x FROM part),
+f AS (SELECT p_brand, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sqrt(regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x)) / sqrt(count(*)) AS rms, count(*) AS n FROM p GROUP BY p_brand),
+f2 AS (SELECT p_brand, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x)) / count(*)) AS rms, count(*) AS n FROM p JOIN f USING (p_brand) WHERE abs(y - a - b * x) <= 1.6 * f.rms GROUP BY p_brand),
+f3 AS (SELECT p_brand, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x)) / count(*)) AS rms, count(*) AS n FROM p JOIN f2 USING (p_brand) WHERE abs(y - a - b * x) <= 1.6 * f2.rms GROUP BY p_brand)
+SELECT p_brand, round(a, 5) AS constant, round(b, 7) AS slope, round(rms, 6) AS rms, n FROM f3""")
+def rejecting_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price by size for each brand, fitted three times without what lies off."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_size")
+    fit = fits.rejecting_fit(p, ["p_brand"], "p_retailprice", ["p_size"], clip=1.6, rounds=3)
+    return fit.select("p_brand", F.round("constant", 5).alias("constant"), F.round("slope_p_size", 7).alias("slope"), F.round("rms", 6).alias("rms"), "n")
+
+
+@query("""
+WITH c AS (SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY ALL)
+SELECT flag, status, round(s / n, 4) AS parameter FROM c""")
+def searched_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level that makes squared differences least, found by a bounded search over sums; the SQL takes the mean, which it is."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), "l_quantity")
+    found = fits.searched(li, ["flag", "status"], lambda a: (F.col("l_quantity") - a) ** 2, 0.0, 60.0, steps=16, rounds=8)
+    return found.select("flag", "status", F.round("parameter", 4).alias("parameter"))

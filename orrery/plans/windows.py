@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.time import MICROS_PER_HOUR, from_micros, micros, night
-from orrery.operators import matching, sessions, stats
+from orrery.operators import groups, matching, sessions, stats
 from orrery.plans.registry import query
 from orrery.session import table
 
@@ -226,3 +226,37 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
     t = d.groupBy("event_type").agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"))
     return d.join(t, "event_type").select("user_id", "event_type", F.round((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n")), 8).alias("others"))
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, event_id, value FROM events),
+m AS (SELECT * FROM v WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id) QUALIFY value > coalesce(lag(value) OVER w, -1) AND value > coalesce(lead(value) OVER w, -1)),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, t) AS k FROM m),
+r AS (SELECT user_id, k, [t] AS kept, true AS stays, event_id FROM n WHERE k = 1
+ UNION ALL SELECT n.user_id, n.k, CASE WHEN len(list_filter(r.kept, lambda x: abs(x - n.t) < 172800)) = 0 THEN list_append(r.kept, n.t) ELSE r.kept END, len(list_filter(r.kept, lambda x: abs(x - n.t) < 172800)) = 0, n.event_id FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT r.user_id, event_id, value FROM r JOIN n USING (user_id, k, event_id) WHERE stays QUALIFY row_number() OVER (PARTITION BY r.user_id ORDER BY value DESC, t) <= 5""")
+def separated_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest peaks of each user that keep two days from any higher one."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", (micros("ts") / 1e6).alias("t"))
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    peaks = e.withColumns({"a": F.coalesce(F.lag("value").over(w), F.lit(-1.0)), "b": F.coalesce(F.lead("value").over(w), F.lit(-1.0))}).filter("value > a and value > b").drop("a", "b")
+    kept = groups.separated_peaks(peaks, ["user_id"], "t", "value", 172_800.0)
+    best = Window.partitionBy("user_id").orderBy(F.desc("value"), "t")
+    return kept.withColumn("n", F.row_number().over(best)).filter("n <= 5").select("user_id", "event_id", "value")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_custkey % 40 AS bucket, round(o_totalprice / 100) AS price FROM orders), p AS (SELECT p_partkey % 40 AS bucket, round(p_retailprice) AS price, min(p_partkey) AS part FROM part GROUP BY ALL),
+d AS (SELECT id, o.bucket, part, row_number() OVER (PARTITION BY id ORDER BY abs(p.price - o.price), p.price DESC, part) AS n FROM o JOIN p USING (bucket)),
+q AS (SELECT p_partkey % 40 AS bucket, round(p_retailprice) AS price, min(p_partkey) AS part FROM part WHERE p_partkey % 40 >= 6 OR p_size <= 25 GROUP BY ALL),
+b AS (SELECT id, part, row_number() OVER (PARTITION BY id ORDER BY abs(q.price - o.price), q.price DESC, part) AS n FROM o JOIN q USING (bucket))
+SELECT o.id, d.part, b.part AS was FROM o LEFT JOIN d ON d.id = o.id AND d.n = 1 LEFT JOIN b ON b.id = o.id AND b.n = 1 WHERE d.part IS DISTINCT FROM b.part""")
+def rematched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose best part changes once new parts have come to some groups; only those groups are matched anew."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("bucket"), F.round(F.col("o_totalprice") / 100).alias("price"))
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("bucket"), F.round("p_retailprice").alias("price"), F.col("p_partkey").alias("part"), "p_size")
+    new = (F.col("bucket") < 6) & (F.col("p_size") > 25)
+    match = lambda a, b: matching.nearest(a, b.drop("p_size"), ["bucket"], "price", "part").drop("distance")
+    recorded = match(o, p.filter(~new)).select("id", "bucket", "price", "part")
+    found = matching.rematched(recorded, o, p, p.filter(new), ["bucket"], match, "part")
+    return found.filter(~F.col("part").eqNullSafe(F.col("was"))).select("id", "part", "was")

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orrery.operators.groups import before_in_buckets, set_runs
+from orrery.operators.groups import before_in_buckets, separated_peaks, set_runs
 
 
 def plain_runs(hits, gap):
@@ -57,3 +57,27 @@ def test_before_across_buckets(spark):
     df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "key string, t long, i long")
     got = {r["i"]: r["before"] and r["before"]["i"] for r in before_in_buckets(df, ["key"], "t", F.struct("t", "i"), 10).collect()}
     assert got == {0: None, 1: 0, 6: 1, 2: 6, 3: 2, 4: 3, 5: None}
+
+
+def plain_peaks(peaks, apart):
+    kept = []
+    for t, v in sorted(peaks, key=lambda p: (-p[1], p[0])):
+        if all(abs(t - s) >= apart for s, _ in kept):
+            kept.append((t, v))
+    return set(kept)
+
+
+def test_peaks_equal_the_sequential_rule(spark):
+    rnd, rows = random.Random(3), []
+    rows += [("noise", float(t), rnd.choice([rnd.random(), 0.5])) for t in rnd.sample(range(4000), 700)]
+    rows += [("ramp", float(t), float(t)) for t in range(240)]  # every peak waits for the one after it
+    rows += [("flat", float(t), 1.0) for t in range(0, 300, 2)] + [("one", 5.0, 1.0)]
+    odd = [("one", None, 1.0), ("one", 3.0, None), (None, 3.0, 9.0)]
+    df = spark.createDataFrame(rows + odd, "star string, t double, v double")
+    for width in (None, 40.0):
+        got = {}
+        for r in separated_peaks(df, ["star"], "t", "v", 12.0, width=width or 100.0).collect():
+            got.setdefault(r["star"], set()).add((r["t"], r["v"]))
+        want = {k: plain_peaks([r[1:] for r in rows if r[0] == k], 12.0) for k in ("noise", "ramp", "flat", "one")}
+        assert got == want
+    assert separated_peaks(df.limit(0), ["star"], "t", "v", 12.0).count() == 0
