@@ -6,18 +6,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that say nothing about which object a name means.
-GENERIC_WORDS = ["nebula", "galaxy", "cluster", "the", "region", "complex"]
+GENERIC_WORDS = [
+    "and", "cluster", "co", "complex", "galaxies", "galaxy", "ha", "hoo", "lrgb", "mosaic", "neb", "nebula", "nebulae", "of", "oiii", "region", "remnant", "rgb", "s", "sho", "snr", "supernova", "the",
+]
+
+# Catalogues of deep-sky objects, how their names are written, their last number, and the case of a letter after it.
+CATALOGUES = {
+    "Abell ": (["ABELL", "A"], 4076, ""),
+    "Arp ": (["ARP"], 338, ""),
+    "B ": (["BARNARD", "B"], 999, "lower"),
+    "C ": (["CALDWELL", "C"], 109, ""),
+    "Ced ": (["CEDERBLAD", "CED"], 999, "lower"),
+    "Cr ": (["COLLINDER", "CR", "CL"], 471, ""),
+    "Gum ": (["GUM"], 85, ""),
+    "HCG ": (["HICKSON", "HCG"], 100, ""),
+    "IC ": (["IC"], 9999, "upper"),
+    "LBN ": (["LBN"], 1125, ""),
+    "LDN ": (["LYNDS", "LDN"], 1802, ""),
+    "M ": (["MESSIER", "M"], 110, ""),
+    "Mel ": (["MELOTTE", "MEL"], 245, ""),
+    "NGC ": (["NGC"], 9999, "upper"),
+    "PGC ": (["PGC"], 9_999_999, ""),
+    "RCW ": (["RCW"], 182, ""),
+    "Sh2-": (["SHARPLESS"], 313, ""),
+    "UGC ": (["UGC"], 99_999, ""),
+    "vdB ": (["VANDENBERGH", "VDB"], 158, ""),
+}
+#: What a designation of any catalogue looks like (a fixed value).
+DESIGNATION_SHAPE = r"^[A-Za-z][A-Za-z0-9]{0,9}[ -]?[+-]?\d[0-9A-Za-z.+\-*?]*$|^\d[A-Za-z]{1,2}\s?\d+(\.\d+)?$"
 
 
 def normal_name(x: Column) -> Column:
-    """Lower case, & as and, everything but letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+    """Lower case, & as and, a possessive s with its word, everything but letters and digits (of any script) as single spaces."""
+    joined = F.replace(F.lower(F.replace(x, F.lit("&"), F.lit(" and "))), F.lit("'s"), F.lit("s"))
+    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{Nd}]+", " "))
+
+
+def strip_panel(x: Column) -> Column:
+    """A mosaic target's name without its panel number."""
+    return F.trim(F.regexp_replace(x, r"(?i)(\s*[-,]?\s*\bpanel\s*\d+|\s+p\d+)\s*$", ""))
 
 
 def core_name(x: Column) -> Column:
-    """The normal name without generic words; the normal name where nothing is left."""
-    words = F.filter(F.split(normal_name(x), " "), lambda w: ~w.isin(GENERIC_WORDS) & (w != ""))
-    return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(normal_name(x))
+    """The normal name without panel and generic words; empty where nothing is left."""
+    words = F.filter(F.split(normal_name(strip_panel(x)), " "), lambda w: ~w.isin(GENERIC_WORDS) & (w != ""))
+    return F.array_join(words, " ")
 
 
 def trigrams(x: Column) -> Column:
@@ -33,18 +66,29 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def designation(x: Column) -> Column:
     """Canonical catalogue designation of a name, null if it isn't one."""
-    s = F.upper(F.trim(x))
-    out = None
-    for pattern, prefix in ((r"^(?:M|MESSIER)\s*0*(\d+)$", "M "), (r"^NGC\s*0*(\d+)$", "NGC "), (r"^IC\s*0*(\d+)$", "IC "), (r"^(?:SH\s*2|SH2)\s*[- ]\s*0*(\d+)$", "Sh2-"), (r"^(?:B|BARNARD)\s*0*(\d+)$", "B "), (r"^(?:C|CALDWELL)\s*0*(\d+)$", "C ")):
-        got = F.regexp_extract(s, pattern, 1)
-        case = F.when(got != "", F.concat(F.lit(prefix), got))
-        out = case if out is None else F.coalesce(out, case)
-    return out
-
-
-def strip_panel(x: Column) -> Column:
-    """A mosaic target's name without its panel number."""
-    return F.trim(F.regexp_replace(x, r"(?i)[ _-]*(panel|p)[ _-]*\d+$", ""))
+    s = F.upper(F.trim(F.regexp_replace(F.regexp_replace(x, "[\u2010-\u2014\u2212_]", "-"), r"\s+", " ")))
+    remnant = r"^(?:SNR\s*)?G\s*(\d{1,3}(?:\.\d+)?)\s*([+-])\s*(\d{1,2}(?:\.\d+)?)$"  # by galactic position
+    lon, lat = (F.regexp_extract(s, remnant, i).try_cast("double") for i in (1, 3))
+    at = F.when((lon < 360) & (lat <= 90), F.concat(F.lit("G"), F.lpad(F.format_string("%.1f", lon), 5, "0"), F.regexp_extract(s, remnant, 2), F.lpad(F.format_string("%.1f", lat), 4, "0")))
+    # the number of Sharpless' catalogue, 2, is part of its name
+    plain = F.regexp_replace(s, r"^(?:SH\s*2|SHARPLESS\s*2\s*-)\s*-?\s*(?=\d)", "SHARPLESS ")
+    shape = r"^([A-Z][A-Z\s]*?)\s*-?\s*0*(\d+)\s*([A-Z])?$"
+    word, number, letter = F.regexp_replace(F.regexp_extract(plain, shape, 1), r"\s+", ""), F.regexp_extract(plain, shape, 2).try_cast("int"), F.regexp_extract(plain, shape, 3)
+    listed = [(form, F.struct(F.lit(prefix), F.lit(last), F.lit(case))) for prefix, (forms, last, case) in CATALOGUES.items() for form in forms]
+    own = F.try_element_at(F.create_map(*(v for form, row in listed for v in (F.lit(form), row))), word)
+    prefix, last, case = (own[f"col{i}"] for i in (1, 2, 3))
+    suffix = F.when(case == "upper", letter).when(case == "lower", F.lower(letter)).when(letter == "", "")
+    return F.coalesce(at, F.when(number.between(1, last), F.concat(prefix, number.cast("string"), suffix)))
+
+
+def designation_key(x: Column) -> Column:
+    """What two spellings of a designation have in common."""
+    return F.upper(F.regexp_replace(F.coalesce(designation(x), x), r"\s+", ""))
+
+
+def looks_like_designation(x: Column) -> Column:
+    trimmed = F.trim(x)
+    return designation(x).isNotNull() | ((F.octet_length(trimmed) <= 24) & trimmed.rlike(DESIGNATION_SHAPE))
 
 
 def base_name(path: Column) -> Column:

@@ -1,11 +1,10 @@
-"""Catalogue upkeep: deltas, ladders of names, polygons, status updates and roll-ups."""
+"""Catalogue upkeep: deltas, polygons, status updates and roll-ups."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.text import core_name, jaccard, normal_name, trigrams
 from orrery.operators.upsert import last_wins
 
 
@@ -37,29 +36,6 @@ def inside_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) ->
     return crossings % 2 == 1
 
 
-# What a tier of the ladder scores.
-EXACT, CORE, PREFIX, CONTAINS, LEAST_LIKENESS = 1.0, 0.95, 0.85, 0.75, 0.45
-
-
-def name_ladder(asked: DataFrame, known: DataFrame, *, asked_col: str = "asked", known_col: str = "name") -> DataFrame:
-    """(asked, name, score): the best known name of each asked one, by exact, core, prefix, contained and trigram likeness.
-
-    Names meet on their trigrams; the commonest grams of the known names are
-    left to the others of a name, as every shared pair above the least likeness
-    shares rare ones too: of n grams, the n - ceil(least * n) + 1 rarest.
-    """
-    k = known.select(F.col(known_col).alias("name"), normal_name(F.col(known_col)).alias("kn"), core_name(F.col(known_col)).alias("kc"), trigrams(normal_name(F.col(known_col))).alias("kt")).distinct()
-    a = asked.select(F.col(asked_col).alias("asked"), normal_name(F.col(asked_col)).alias("an"), core_name(F.col(asked_col)).alias("ac"), trigrams(normal_name(F.col(asked_col))).alias("at")).distinct()
-    pairs = a.withColumn("gram", F.explode("at")).join(k.withColumn("gram", F.explode("kt")), "gram").drop("gram").dropDuplicates(["asked", "name"])
-    likeness = jaccard(F.col("at"), F.col("kt"))
-    score = (
-        F.when(F.col("an") == F.col("kn"), EXACT).when(F.col("ac") == F.col("kc"), CORE).when(F.col("kn").startswith(F.col("an")) | F.col("an").startswith(F.col("kn")), PREFIX)
-        .when(F.col("kn").contains(F.col("an")), CONTAINS).when(likeness >= LEAST_LIKENESS, likeness)
-    )
-    scored = pairs.withColumn("score", score).filter("score is not null")
-    return scored.groupBy("asked").agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("name"))).alias("b")).select("asked", "b.name", "b.score")
-
-
 def set_status(rows: DataFrame, selected: DataFrame, key: str, status: str) -> DataFrame:
     """Rows with the status of the selected ones overwritten; ``changed`` where that made a difference."""
     marked = rows.join(selected.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")

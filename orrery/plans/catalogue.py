@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import sky, text
 from orrery.functions.time import micros
-from orrery.operators import catalogue, matching, upsert
+from orrery.operators import catalogue, matching, names, upsert
 from orrery.operators.images import weighted_update
 from orrery.operators.mirrors import Mirror
 from orrery.plans.registry import query
@@ -199,17 +199,38 @@ def core_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.core_name(name).alias("core"), text.strip_panel(F.concat(name, F.lit(" Panel "), (F.col("s_suppkey") % 9).cast("string"))).alias("base"))
 
 
-@query("""
-WITH a AS (SELECT DISTINCT split_part(p_name,' ',1) AS asked FROM part), k AS (SELECT DISTINCT p_name AS name FROM part),
-n AS (SELECT asked, lower(asked) AS an, name, lower(name) AS kn FROM a, k), g AS (SELECT *, list_distinct(list_transform(range(1,len(an)+2), lambda i: substr('  '||an||' ',i,3))) AS t, list_distinct(list_transform(range(1,len(kn)+2), lambda i: substr('  '||kn||' ',i,3))) AS u FROM n),
-s AS (SELECT *, len(list_intersect(t,u)) AS b, len(list_intersect(t,u))::DOUBLE/(len(t)+len(u)-len(list_intersect(t,u))) AS j FROM g),
-c AS (SELECT asked, name, CASE WHEN an=kn THEN 1.0 WHEN starts_with(kn,an) OR starts_with(an,kn) THEN 0.85 WHEN contains(kn,an) THEN 0.75 WHEN j>=0.45 THEN j END AS score FROM s WHERE b>0)
-SELECT asked, name, round(score,8) AS score FROM c WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, name)=1""")
+_TRIGRAMS = "list_distinct(list_transform(range(1, len({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
+_LADDER = f"""
+g AS (SELECT *, {_TRIGRAMS.format('q')} AS t FROM a), h AS (SELECT DISTINCT n, {_TRIGRAMS.format('n')} AS u FROM nm),
+j AS (SELECT asked, q, n, len(list_intersect(t, u))::DOUBLE / (len(t) + len(u) - len(list_intersect(t, u))) AS j FROM g, h),
+m AS (SELECT asked, n, CASE WHEN q = n THEN 80 WHEN starts_with(n, q) THEN 50 WHEN len(q) >= 3 AND contains(n, q) THEN 35 WHEN len(q) >= 4 AND j >= 0.45 THEN 30 * j END AS score FROM j)"""
+
+
+@query("WITH a AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS asked, split_part(lower(p_name), ' ', 1) AS q FROM part), nm AS (SELECT DISTINCT p_name AS id, lower(p_name) AS n FROM part)," + _LADDER + """
+SELECT asked, id AS name, round(score, 8) AS score FROM m JOIN nm USING (n) WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, id) = 1""")
 def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best known name of each asked one, by the ladder from exact to alike."""
     p = table(spark, sf_dir, "part")
-    found = catalogue.name_ladder(p.select(F.split("p_name", " ")[0].alias("asked")), p.select(F.col("p_name").alias("name")))
-    return found.select("asked", "name", F.round("score", 8).alias("score"))
+    known = p.select(F.col("p_name").alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("designation"), F.array().cast("array<string>").alias("aliases"), F.lit(0.0).alias("rank")).distinct()
+    found = names.name_search(p.select(F.split("p_name", " ")[0].alias("asked")), known, limit=1)
+    return found.select("asked", F.col("id").alias("name"), F.round("score", 8).alias("score"))
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, p_name, p_size FROM part),
+a AS (SELECT DISTINCT trim(asked) AS asked, lower(trim(asked)) AS q, CASE WHEN starts_with(asked, 'ngc') THEN 'NGC' || CAST(substr(asked, 5) AS INTEGER) WHEN starts_with(asked, 'Arp') THEN 'ARP' || CAST(substr(asked, 4) AS INTEGER) END AS key
+ FROM (SELECT unnest([split_part(p_name, ' ', 1), 'ngc 0' || p_size, replace(p_name, 'l', 'r'), substr(p_name, 2, 5), 'Arp' || p_size % 3]) AS asked FROM part)),
+nm AS (SELECT id, lower(p_name) AS n FROM o UNION SELECT id, 'ngc ' || id FROM o UNION SELECT id, 'arp 0' || p_size FROM o), ky AS (SELECT id, 'NGC' || id AS k FROM o UNION SELECT id, 'ARP' || p_size FROM o),""" + _LADDER + """,
+w AS (SELECT asked, id, score FROM m JOIN nm USING (n) WHERE score IS NOT NULL UNION ALL SELECT asked, id, 45 FROM a JOIN ky ON len(replace(q, ' ', '')) >= 2 AND starts_with(k, upper(replace(q, ' ', ''))) UNION ALL SELECT asked, min(id), 100 FROM a JOIN ky ON k = key GROUP BY asked)
+SELECT asked, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, id) AS INTEGER) AS place, id, round(score, 8) AS score FROM (SELECT asked, id, max(score) + any_value(p_size) / 100 AS score FROM w JOIN o USING (id) GROUP BY asked, id)
+QUALIFY row_number() OVER (PARTITION BY asked ORDER BY score DESC, id) <= 20""")
+def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best objects of designations, words, misspelt names and scraps of them."""
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    asked = F.array(F.split("p_name", " ")[0], F.concat(F.lit("ngc 0"), size), F.replace("p_name", F.lit("l"), F.lit("r")), F.substring("p_name", 2, 5), F.concat(F.lit("Arp"), (F.col("p_size") % 3).cast("string")))
+    objects = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("NGC "), F.col("p_partkey").cast("string")).alias("designation"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("Arp 0"), size)).alias("aliases"), (F.col("p_size") / 100).alias("rank"))
+    found = names.name_search(p.select(F.explode(asked).alias("asked")), objects)
+    return found.select("asked", "place", "id", F.round("score", 8).alias("score"))
 
 
 @query("""
