@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.stats import percentile
+from orrery.functions.sky import finite
+from orrery.operators.stats import by_group, exact_percentiles, order_statistics, percentile
+from orrery.session import staged
 
 
 def phase(t: Column, epoch: Column, period: Column) -> Column:
@@ -45,25 +47,62 @@ def box_search(points: DataFrame, keys: list[str], t: str, y: str, *, period: fl
     return box.groupBy(*keys).agg(best.alias("_x")).select(*keys, F.col("_x.b.start").alias("start"), F.col("_x.b.length").alias("length"), F.col("_x.strength").alias("strength"))
 
 
-def verdicts(points: DataFrame, star: str, band: str, y: str, error: str, *, change: float, level: tuple[float, float], least: int = 5, enough: int = 10, deviants: int = 3) -> DataFrame:
-    """Whether a star varies: per band amplitude (p95 - p5 about the median) and deviant points.
+# Fixed values of the verdict: epochs that an object, a variable band and a flat band have at least; amplitudes in median errors;
+# shares of deviant epochs; the trimmed share at each end of a peak; a flat amplitude's share of the claim.
+OBJECT_EPOCHS, VARIABLE_EPOCHS, FLAT_EPOCHS = 5, 10, 20
+VARIABLE_NOISE, CLAIM_NOISE, FLAT_NOISE, FLAT_ERRORS = 4.5, 2.0, 4.5, 3.0
+DEVIANTS, DEVIANT_SHARE, FLAT_DEVIANT_SHARE, ECLIPSE_SHARE, ECLIPSE_BRIGHT = 5, 0.02, 0.01, 0.01, 0.25
+PEAK_TRIM, FLAT_SHARE = 0.01, 1 / 3
 
-    A band counts with ``least`` points and its median inside ``level``. It is
-    variable with ``enough`` points, an amplitude of 4.5 median errors and
-    ``deviants`` points over half of ``change`` and 5 errors off; a star is
-    flat if every band's amplitude is under a third of ``change`` and 4.5
-    errors.
+
+def band_statistics(points: DataFrame, star: str, band: str, obj: str, y: str, error: str, change: float) -> DataFrame:
+    """By star and band: epochs, amplitude (p95 - p5), peak (trimmed range), median error and level, deviant and fainter epochs.
+
+    Residuals are about the median of each object (one field and chip) within
+    the band, so that offsets between fields are no variation. Points whose value
+    or error is not positive and finite take no part. All ranks are those of
+    range-partitioned counts, so a curve of any length is fine.
     """
-    by = [star, band]
-    med = points.groupBy(*by).agg(F.count("*").alias("n"), percentile(y, 0.5).alias("_m")).filter(F.col("n") >= least)
-    r = points.join(med, by).withColumn("_r", F.col(y) - F.col("_m"))
+    good = points.filter((finite(y) > 0) & (finite(error) > 0)).select(star, band, obj, y, error)
+    med = exact_percentiles(good, [star, band, obj], y, {"_m": 0.5}).filter(F.col("n") >= OBJECT_EPOCHS).drop("n")
+    r = staged(by_group(good, med, [star, band, obj]).withColumn("_r", F.col(y) - F.col("_m")).drop("_m"), "residuals")
     far = (F.abs("_r") > change / 2) & (F.abs("_r") > 5 * F.col(error))
-    s = r.groupBy(*by).agg(F.first("n").alias("n"), (percentile("_r", 0.95) - percentile("_r", 0.05)).alias("amplitude"), percentile(error, 0.5).alias("error"), F.count_if(far).alias("deviant"), percentile(y, 0.5).alias("level"))
-    s = s.filter(F.col("level").between(*level))
-    varies = (F.col("n") >= enough) & (F.col("amplitude") >= 4.5 * F.col("error")) & (F.col("deviant") >= deviants)
-    flat = (F.col("amplitude") < change / 3) & (F.col("amplitude") < 4.5 * F.col("error"))
-    out = s.groupBy(star).agg(F.bool_or(varies).alias("_v"), F.bool_and(flat).alias("_f"), F.count("*").alias("bands"), F.max("amplitude").alias("amplitude"))
-    return out.select(star, F.when(F.col("_v"), "variable").when(F.col("_f"), "flat").otherwise("unknown").alias("verdict"), "bands", "amplitude")
+    counts = r.groupBy(star, band).agg(F.count("*").alias("epochs"), F.count_if(far).alias("deviant"), F.count_if(far & (F.col("_r") > 0)).alias("fainter"))
+    trim = F.greatest(F.lit(1), F.round(PEAK_TRIM * F.col("n"))).cast("long")
+    peaks = order_statistics(r, [star, band], "_r", {"_low": trim, "_high": F.col("n") - 1 - trim}).withColumn("peak", F.when(F.col("n") > 2 * trim, F.col("_high") - F.col("_low")).otherwise(0.0)).select(star, band, "peak")
+    spread = exact_percentiles(r, [star, band], "_r", {"_p5": 0.05, "_p95": 0.95}).select(star, band, (F.col("_p95") - F.col("_p5")).alias("amplitude"))
+    middle = exact_percentiles(r, [star, band], error, {"error": 0.5}).drop("n"), exact_percentiles(r, [star, band], y, {"level": 0.5}).drop("n")
+    for more in (peaks, spread, *middle):
+        counts = by_group(counts, more, [star, band])
+    return counts
+
+
+def verdicts(points: DataFrame, star: str, band: str, obj: str, y: str, error: str, *, change: float, level: tuple[float, float]) -> DataFrame:
+    """What a survey says about a claimed ``change`` of each star: variable, flat or unknown, with the band behind it.
+
+    Of the bands whose median is within ``level``, one varies by its amplitude in
+    errors or by enough deviant epochs (all or nearly all fainter ones, if it is
+    an eclipse); it confirms the claim if its peak reaches it within the errors,
+    and of several the one of the greatest peak counts. A band that varies by less
+    makes the star unknown, with that peak. Else the flat band of most epochs, if
+    there is one, makes it flat.
+    """
+    s = band_statistics(points, star, band, obj, y, error, change)
+    n, deviant, fainter = F.col("epochs"), F.col("deviant"), F.col("fainter")
+    eclipse = (fainter >= F.greatest(F.lit(float(DEVIANTS)), ECLIPSE_SHARE * n)) & (deviant - fainter <= ECLIPSE_BRIGHT * fainter)
+    dips = (deviant >= F.greatest(F.lit(float(DEVIANTS)), DEVIANT_SHARE * n)) | eclipse
+    varies = (n >= VARIABLE_EPOCHS) & ((F.col("amplitude") >= VARIABLE_NOISE * F.col("error")) | dips)
+    claimed = F.col("peak") + CLAIM_NOISE * F.col("error") >= change
+    flat = (n >= FLAT_EPOCHS) & (FLAT_ERRORS * F.col("error") <= change) & (F.col("amplitude") < FLAT_SHARE * change) & (F.col("amplitude") < FLAT_NOISE * F.col("error")) & (deviant <= F.greatest(F.lit(1.0), FLAT_DEVIANT_SHARE * n))
+    usable = F.col("level").between(*level)
+    kind = F.when(varies & claimed, 0).when(varies, 1).when(flat, 2).otherwise(3)
+    # of a kind, the greatest peak (of flat ones, the most epochs) and then the first band
+    order = F.struct(kind.alias("kind"), F.when(kind < 2, -F.col("peak")).when(kind == 2, -n.cast("double")).alias("less"), F.col(band).alias("first"))
+    own = F.struct(F.col(band).alias("band"), kind.alias("kind"), F.when(kind < 2, F.col("peak")).when(kind == 2, F.col("amplitude")).otherwise(0.0).alias("amplitude"))
+    best = s.filter(usable).groupBy(star).agg(F.min_by(own, order).alias("_b"), F.count("*").alias("bands"))
+    every = s.select(star).distinct().join(best, star, "left")
+    k = F.col("_b.kind")
+    return every.select(star, F.when(k == 0, "variable").when(k == 2, "flat").otherwise("unknown").alias("verdict"), F.when(k < 3, F.col("_b.band")).alias("band"), F.coalesce("_b.amplitude", F.lit(0.0)).alias("amplitude"), F.coalesce("bands", F.lit(0)).alias("bands"))
 
 
 def predictions(ephemerides: DataFrame, epoch: str, period: str, start: float, end: float, *, epoch_error: Column, period_error: Column, at_phase: float = 0.0) -> DataFrame:

@@ -14,6 +14,7 @@ from orrery.operators.images import weighted_update
 from orrery.operators.mirrors import Mirror
 from orrery.plans.registry import query
 from orrery.session import shared_dir, table
+from orrery.sources import tiles
 
 
 @query("""
@@ -85,13 +86,13 @@ def finder_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p_brand, p_type AS filter, count(*) AS epochs, count(*) FILTER (WHERE good) AS good, round(median(mag) FILTER (WHERE good),6) AS typical FROM (
  SELECT p_brand, p_type, CASE WHEN p_size%7=0 THEN 'nan'::DOUBLE WHEN p_size%11=0 THEN NULL ELSE p_retailprice/100-5 END AS mag, p_size%5 AS flags,
-  p_size%5=0 AND p_size%7<>0 AND p_size%11<>0 AND p_retailprice/100-5>0 AS good FROM part) GROUP BY 1,2""")
+  p_size%5=0 AND p_size%7<>0 AND p_size%11<>0 AND p_retailprice/100-5>0 AND p_partkey%13>1 AS good FROM part) GROUP BY 1,2""")
 def good_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs without flags whose magnitude is finite and positive."""
+    """Epochs without flags whose magnitude and error are finite and positive."""
     size = F.col("p_size")
     mag = F.when(size % 7 == 0, float("nan")).when(size % 11 != 0, F.col("p_retailprice") / 100 - 5)
-    p = table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("filter"), sky.finite(mag).alias("mag"), (size % 5).alias("flags"))
-    good = (F.col("flags") == 0) & F.coalesce(F.col("mag") > 0, F.lit(False))
+    p = table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("filter"), sky.finite(mag).alias("mag"), (size % 5).alias("flags"), F.when(F.col("p_partkey") % 13 == 0, float("inf")).otherwise((F.col("p_partkey") % 13 - 1) / 100).alias("error"))
+    good = tiles.good_epoch("flags", "mag", "error")
     return p.groupBy("p_brand", "filter").agg(F.count("*").alias("epochs"), F.count_if(good).alias("good"), F.round(F.median(F.when(good, F.col("mag"))), 6).alias("typical"))
 
 

@@ -41,16 +41,23 @@ def box_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("star", "start", "length", F.round("strength", 6).alias("strength"))
 
 
-@query(f"""
-WITH p AS (SELECT user_id AS star, event_type AS band, value AS y, greatest(1, value*0.02) AS e FROM events WHERE value>0),
-c AS (SELECT star, band, count(*) AS n, median(y) AS m FROM p GROUP BY 1,2 HAVING count(*)>=5), r AS (SELECT p.star, p.band, y-m AS r, y, e, n, row_number() OVER (PARTITION BY p.star, p.band ORDER BY y-m) AS k FROM p JOIN c USING (star, band)),
-s AS (SELECT star, band, any_value(n) AS n, quantile_cont(r,0.95)-quantile_cont(r,0.05) AS amplitude, median(e) AS error, count(*) FILTER (WHERE abs(r)>10 AND abs(r)>5*e) AS deviant, median(y) AS level FROM r GROUP BY 1,2)
-SELECT star, CASE WHEN bool_or(n>=10 AND (amplitude>=4.5*error AND deviant>=3)) THEN 'variable' WHEN bool_and(amplitude<20.0/3 AND amplitude<4.5*error) THEN 'flat' ELSE 'unknown' END AS verdict, count(*) AS bands, round(max(amplitude),6) AS amplitude FROM s WHERE level BETWEEN 5 AND 200 GROUP BY 1""")
+@query("""
+WITH p AS (SELECT user_id AS star, CASE WHEN event_type IN ('view', 'click') THEN 'r' ELSE 'g' END AS band, event_id % 2 AS obj, 100 + event_id % 2 + CASE user_id % 4 WHEN 0 THEN value / 200 WHEN 1 THEN value WHEN 2 THEN value / 10 ELSE CASE WHEN event_id % 19 = 0 THEN 30 ELSE value / 200 END END AS y, 1 + user_id % 3 * 0.5 AS e FROM events),
+c AS (SELECT star, band, obj, median(y) AS m FROM p GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT star, band, y - m AS r, y, e, row_number() OVER (PARTITION BY star, band ORDER BY y - m) - 1 AS k, count(*) OVER (PARTITION BY star, band) AS n FROM p JOIN c USING (star, band, obj)),
+s AS (SELECT star, band, any_value(n) AS n, quantile_cont(r, 0.95) - quantile_cont(r, 0.05) AS amplitude, median(e) AS error, median(y) AS level, count(*) FILTER (WHERE abs(r) > 10 AND abs(r) > 5 * e) AS deviant, count(*) FILTER (WHERE r > 10 AND r > 5 * e) AS fainter,
+  CASE WHEN any_value(n) > 2 * greatest(1, round(0.01 * any_value(n))) THEN max(r) FILTER (WHERE k = n - 1 - greatest(1, round(0.01 * n))) - max(r) FILTER (WHERE k = greatest(1, round(0.01 * n))) ELSE 0 END AS peak FROM r GROUP BY ALL),
+v AS (SELECT *, n >= 10 AND (amplitude >= 4.5 * error OR deviant >= greatest(5, 0.02 * n) OR (fainter >= greatest(5, 0.01 * n) AND deviant - fainter <= 0.25 * fainter)) AS varies FROM s),
+u AS (SELECT *, CASE WHEN varies AND peak + 2 * error >= 20 THEN 0 WHEN varies THEN 1 WHEN n >= 20 AND 3 * error <= 20 AND amplitude < 20.0 / 3 AND amplitude < 4.5 * error AND deviant <= greatest(1, 0.01 * n) THEN 2 ELSE 3 END AS kind FROM v),
+b AS (SELECT *, count(*) OVER (PARTITION BY star) AS bands FROM u WHERE level BETWEEN 5 AND 200 QUALIFY row_number() OVER (PARTITION BY star ORDER BY kind, CASE WHEN kind < 2 THEN -peak WHEN kind = 2 THEN -n END, band) = 1)
+SELECT star, CASE kind WHEN 0 THEN 'variable' WHEN 2 THEN 'flat' ELSE 'unknown' END AS verdict, CASE WHEN kind < 3 THEN b.band END AS band, round(CASE WHEN kind < 2 THEN peak WHEN kind = 2 THEN amplitude ELSE 0 END, 6) AS amplitude, coalesce(bands, 0) AS bands FROM (SELECT DISTINCT star FROM s) LEFT JOIN b USING (star)""")
 def variability_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per band: median-free residuals, amplitude and deviant points; per star: variable, flat or unknown."""
-    p = table(spark, sf_dir, "events").filter("value > 0").select(F.col("user_id").alias("star"), F.col("event_type").alias("band"), F.col("value").alias("y"), F.greatest(F.lit(1.0), F.col("value") * 0.02).alias("e"))
-    v = series.verdicts(p, "star", "band", "y", "e", change=20.0, level=(5.0, 200.0), deviants=3)
-    return v.select("star", "verdict", "bands", F.round("amplitude", 6).alias("amplitude"))
+    """What two bands of each star, of two objects each, say about a claimed change of 20."""
+    user, value, dip = F.col("user_id"), F.col("value"), F.col("event_id") % 19 == 0
+    change = F.when(user % 4 == 0, value / 200).when(user % 4 == 1, value).when(user % 4 == 2, value / 10).otherwise(F.when(dip, 30.0).otherwise(value / 200))
+    obj = (F.col("event_id") % 2).alias("obj")
+    p = table(spark, sf_dir, "events").select(user.alias("star"), F.when(F.col("event_type").isin("view", "click"), "r").otherwise("g").alias("band"), obj, (100 + F.col("event_id") % 2 + change).alias("y"), (1 + user % 3 * 0.5).alias("e"))
+    v = series.verdicts(p, "star", "band", "obj", "y", "e", change=20.0, level=(5.0, 200.0))
+    return v.select("star", "verdict", "band", F.round("amplitude", 6).alias("amplitude"), "bands")
 
 
 @query("""
