@@ -14,7 +14,8 @@ from orrery.functions.sky import angle_between, rotation_fits
 from orrery.operators.sessions import gap_sessions
 
 LIBRARY_GAP = 36 * 3600.0
-BUILDABLE = 3
+# Frames that a master is made of at least; the setpoints that a dark can be scaled over (degrees); darks of a full set from 120 s on and below; biases of a full set.
+BUILDABLE, SCALED_DEGREES, LONG_EXPOSURE, LONG_DARKS, SHORT_DARKS, FULL_BIASES = 3, 10.0, 120.0, 10, 25, 30
 
 
 def calibration_sets(frames: DataFrame) -> DataFrame:
@@ -25,12 +26,12 @@ def calibration_sets(frames: DataFrame) -> DataFrame:
     set, whatever the pauses.
     """
     setup = ["kind", "exposure", "gain", "offset", "set_temp", "bin_x"]
-    cols = [F.count("*").alias("frames"), F.min("night").alias("first_night"), F.max("night").alias("night")]
+    cols = [F.count("*").alias("frames"), F.min("night").alias("first_night"), F.max("night").alias("night"), F.max("at").alias("until")]
     library = gap_sessions(frames.filter(F.col("kind").isin("DARK", "BIAS")), setup, "at", LIBRARY_GAP, ties=["id"])
     sets = library.groupBy(*setup, "session").agg(*cols).drop("session")
     flats = frames.filter("kind = 'FLAT'").withColumn("rotator", F.round("rotator"))
     by = [*setup, "night", "object", "filter", "rotator"]
-    flat_sets = flats.groupBy(*by).agg(F.count("*").alias("frames")).withColumn("first_night", F.col("night"))
+    flat_sets = flats.groupBy(*by).agg(F.count("*").alias("frames"), F.max("at").alias("until")).withColumn("first_night", F.col("night"))
     both = sets.unionByName(flat_sets, allowMissingColumns=True)
     return both.withColumn("set_id", F.xxhash64(*[F.col(c).cast("string") for c in (*by, "first_night")]))
 
@@ -55,33 +56,38 @@ def _choice(groups: DataFrame, sets: DataFrame, kind: str, same: list[str], elig
     return best.select("group_id", F.col("b.set_id").alias(name), grade.alias(f"{name}_grade"))
 
 
-def choose_darks(groups: DataFrame, sets: DataFrame, most_degrees: float = 10.0) -> DataFrame:
+def choose_darks(groups: DataFrame, sets: DataFrame, most_degrees: float = SCALED_DEGREES) -> DataFrame:
     """A dark of the same gain, offset and bin: full and exact first, then nearer in temperature, same exposure, longer, nearer night.
 
-    An unknown set point counts as ``most_degrees`` off and is never exact.
+    A full set has 10 frames from 120 s on, 25 below. An unknown set point
+    counts as ``most_degrees`` off and is never exact.
     """
     off = F.coalesce(F.abs(F.col("g.set_temp") - F.col("s.set_temp")), F.lit(most_degrees))
     same = F.abs(F.col("g.exposure") - F.col("s.exposure")) <= 0.01 * F.col("g.exposure")
     exact = same & (off <= 1) & F.col("g.set_temp").isNotNull() & F.col("s.set_temp").isNotNull()
-    full = F.col("s.frames") >= 20
+    full = F.col("s.frames") >= F.when(F.col("s.exposure") >= LONG_EXPOSURE, LONG_DARKS).otherwise(SHORT_DARKS)
     eligible = (F.col("s.frames") >= BUILDABLE) & (off <= most_degrees) & (F.col("s.exposure") > 0)
     nights = F.abs(F.datediff("g.night", "s.night"))
     return _choice(groups, sets, "DARK", ["gain", "offset", "bin_x"], eligible, [~(full & exact), off, ~same, -F.col("s.exposure"), nights], exact)
 
 
 def choose_flats(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """A flat of the same filter and bin at a fitting rotation: nearer angle, same gain and offset, nearer night, the later on a tie."""
+    """A flat of the same filter and bin: at a fitting rotation first, else by the angle; then of the same gain and offset, nearer night, the later on a tie.
+
+    Any buildable set will do; it is exact if the rotation fits, gain and offset
+    are the same and it is of the lights' own night.
+    """
     fits = rotation_fits(F.col("g.rotator"), F.col("s.rotator"))
-    angle = F.coalesce(angle_between(F.col("g.rotator"), F.col("s.rotator")), F.lit(0.0))
+    angle = F.when(~fits, angle_between(F.col("g.rotator"), F.col("s.rotator"))).otherwise(0.0)
     same = F.col("g.gain").eqNullSafe(F.col("s.gain")) & F.col("g.offset").eqNullSafe(F.col("s.offset"))
     nights = F.datediff("s.night", "g.night")
-    return _choice(groups, sets, "FLAT", ["filter", "bin_x"], fits, [angle, ~same, F.abs(nights), -nights], nights == 0)
+    return _choice(groups, sets, "FLAT", ["filter", "bin_x"], F.col("s.frames") >= BUILDABLE, [~fits, angle, ~same, F.abs(nights), -nights], fits & same & (nights == 0))
 
 
 def choose_biases(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The bias of the same gain, offset and bin of the nearest night, the later on a tie, then the one of more frames."""
+    """The buildable bias of the same gain, offset and bin of the nearest night, the later on a tie, then the one of more frames; exact on the lights' own night."""
     nights = F.datediff("s.night", "g.night")
-    return _choice(groups, sets, "BIAS", ["gain", "offset", "bin_x"], F.lit(True), [F.abs(nights), -nights, -F.col("s.frames")], F.col("s.frames") >= BUILDABLE)
+    return _choice(groups, sets, "BIAS", ["gain", "offset", "bin_x"], F.col("s.frames") >= BUILDABLE, [F.abs(nights), -nights, -F.col("s.frames"), -F.col("s.until")], nights == 0)
 
 
 def coverage(frames: DataFrame) -> DataFrame:
@@ -102,17 +108,32 @@ def dark_gaps(frames: DataFrame, step: float = 5.0) -> DataFrame:
     return need.join(sets, fits, "left_anti")
 
 
-def bias_backlog(frames: DataFrame, target: int = 20) -> DataFrame:
-    """Setups whose chosen bias is missing or thin, most missing lights first, with their priority from 1."""
-    sets, groups = calibration_sets(frames), light_groups(frames)
-    chosen = groups.join(choose_biases(groups, sets), "group_id", "left").join(sets.select(F.col("set_id").alias("bias"), F.col("frames").alias("have")), "bias", "left")
-    missing, thin = F.col("bias").isNull(), F.col("have") < target
-    per = chosen.groupBy("gain", "offset", "bin_x").agg(F.sum(F.when(missing, F.col("lights")).otherwise(0)).alias("missing"), F.sum(F.when(thin, F.col("lights")).otherwise(0)).alias("thin"), F.max("night").alias("latest"))
+def bias_backlog(frames: DataFrame, target: int = FULL_BIASES) -> DataFrame:
+    """Setups whose chosen bias is missing or thin, most missing lights first, with their priority from 1.
+
+    A set of under ``target`` frames is thin unless a full one of its setup was
+    taken after it. Lights without gain, offset or bin name no setup (see
+    ``unschedulable``).
+    """
+    sets = calibration_sets(frames)
+    groups = light_groups(frames).dropna(subset=["gain", "offset", "bin_x"])
+    chosen = groups.join(choose_biases(groups, sets), "group_id", "left").join(sets.select(F.col("set_id").alias("bias"), F.col("frames").alias("have"), "until"), "bias", "left")
+    full = sets.filter((F.col("kind") == "BIAS") & (F.col("frames") >= target)).groupBy("gain", "offset", "bin_x").agg(F.max("until").alias("full_until"))
+    chosen = chosen.join(full, ["gain", "offset", "bin_x"], "left")
+    missing = F.col("bias").isNull()
+    thin = (F.col("have") < target) & ~F.coalesce(F.col("full_until") > F.col("until"), F.lit(False))
+    per = chosen.groupBy("gain", "offset", "bin_x").agg(F.sum(F.when(missing, F.col("lights")).otherwise(0)).alias("missing"), F.sum(F.when(thin, F.col("lights")).otherwise(0)).alias("thin"), F.max(F.when(missing | thin, F.col("night"))).alias("latest"))
     due = per.filter("missing > 0 or thin > 0")
     # a backlog is one row per camera setup: a handful, ranked as one list
     return due.withColumn("priority", F.row_number().over(Window.orderBy(F.desc("missing"), F.desc("thin"), F.desc("latest"), "gain", "offset", "bin_x")))
 
 
+def unschedulable(frames: DataFrame) -> DataFrame:
+    """Lights for which no calibration can be scheduled, by reason."""
+    why = F.when(F.col("gain").isNull() | F.col("offset").isNull(), "no gain or offset").when(F.col("bin_x").isNull(), "no binning")
+    return frames.filter((F.col("kind") == "LIGHT") & why.isNotNull()).groupBy(why.alias("reason")).agg(F.count("*").alias("lights"))
+
+
 def calibration_runs(frames: DataFrame, pause: float = 1800.0) -> DataFrame:
     """Runs of consecutive calibration frames of one setup, pauses of at most ``pause`` seconds."""
     setup = F.xxhash64("kind", "exposure", "gain", "offset", "set_temp", "bin_x", "filter")

@@ -18,11 +18,15 @@ from orrery.session import table
 _FRAMES = """
 WITH frames AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'LIGHT' WHEN 'click' THEN 'DARK' WHEN 'purchase' THEN 'FLAT' WHEN 'signup' THEN 'BIAS' ELSE 'LIGHT' END AS kind,
  'obj'||(user_id%12) AS object, cast(ts AS DATE) AS night, epoch_us(ts)/1e6 AS secs, CASE WHEN event_type='signup' THEN 0.0 WHEN event_type='error' AND user_id%2=0 THEN 300.0 ELSE 60.0*(1+user_id%3) END AS exposure,
- CASE WHEN user_id%10=9 THEN NULL ELSE 50.0*(user_id%4) END AS gain, 10.0 AS "offset", CASE WHEN user_id%9=8 THEN NULL ELSE -10.0+5*(user_id%3) END AS set_temp, 1 AS bin_x FROM events),
+ CASE WHEN user_id%10=9 THEN NULL ELSE 50.0*(user_id%4) END AS gain, CASE WHEN user_id%7=6 THEN 20.0 ELSE 10.0 END AS "offset", CASE WHEN user_id%9=8 THEN NULL ELSE -10.0+5*(user_id%3) END AS set_temp, CASE WHEN user_id%6=5 THEN 2 ELSE 1 END AS bin_x,
+ CASE WHEN user_id%5=0 THEN 'R' ELSE 'L' END AS filter, CASE WHEN user_id%8<>3 THEN (user_id*37%24)*15.0 + CASE WHEN event_type='purchase' THEN user_id%3 ELSE 0 END END AS rotator FROM events),
 lib AS (SELECT *, sum(new) OVER (PARTITION BY kind, exposure, gain, "offset", set_temp, bin_x ORDER BY secs, id ROWS UNBOUNDED PRECEDING) AS session FROM
  (SELECT *, CASE WHEN secs - lag(secs) OVER (PARTITION BY kind, exposure, gain, "offset", set_temp, bin_x ORDER BY secs, id) > 129600 THEN 1 ELSE 0 END AS new FROM frames WHERE kind IN ('DARK','BIAS'))),
-sets AS (SELECT kind, exposure, gain, "offset", set_temp, bin_x, session, count(*) AS frames, min(night) AS first_night, max(night) AS night FROM lib GROUP BY ALL),
-lights AS (SELECT object, night, exposure, gain, "offset", set_temp, bin_x, count(*) AS lights FROM frames WHERE kind='LIGHT' GROUP BY ALL)
+sets AS (SELECT kind, exposure, gain, "offset", set_temp, bin_x, session, count(*) AS frames, min(night) AS first_night, max(night) AS night, max(secs) AS until FROM lib GROUP BY ALL),
+lights AS (SELECT *, row_number() OVER () AS gid FROM (SELECT object, night, filter, exposure, gain, "offset", set_temp, bin_x, rotator, count(*) AS lights FROM frames WHERE kind='LIGHT' GROUP BY ALL)),
+dp AS (SELECT gid, s.frames, s.exposure AS dark_exposure, abs(l.night-s.night) AS nights, coalesce(abs(l.set_temp-s.set_temp),10) AS off, abs(l.exposure-s.exposure)<=0.01*l.exposure AS same, abs(l.exposure-s.exposure)<=0.01*l.exposure AND coalesce(abs(l.set_temp-s.set_temp)<=1, false) AS exact
+  FROM lights l JOIN sets s ON s.kind='DARK' AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x WHERE s.frames>=3 AND coalesce(abs(l.set_temp-s.set_temp),10)<=10 AND s.exposure>0),
+darks AS (SELECT gid, arg_min(exact, (NOT (frames >= CASE WHEN dark_exposure>=120 THEN 10 ELSE 25 END AND exact), off, NOT same, -dark_exposure, nights)) AS exact FROM dp GROUP BY 1)
 """
 
 
@@ -32,9 +36,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, k in kinds.items():
         kind = F.when(F.col("event_type") == name, k).otherwise(kind)
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), kind.alias("kind"), F.concat(F.lit("obj"), (u % 12).cast("string")).alias("object"), F.to_date("ts").alias("night"), (micros("ts") / 1e6).alias("at"), F.lit("L").alias("filter"),
-        F.when(F.col("event_type") == "signup", 0.0).when((F.col("event_type") == "error") & (u % 2 == 0), 300.0).otherwise(60.0 * (1 + u % 3)).alias("exposure"), F.when(u % 10 != 9, 50.0 * (u % 4)).alias("gain"), F.lit(10.0).alias("offset"),
-        F.when(u % 9 != 8, -10.0 + 5 * (u % 3)).alias("set_temp"), F.lit(1).alias("bin_x"), F.lit(None).cast("double").alias("rotator"),
+        F.col("event_id").alias("id"), kind.alias("kind"), F.concat(F.lit("obj"), (u % 12).cast("string")).alias("object"), F.to_date("ts").alias("night"), (micros("ts") / 1e6).alias("at"), F.when(u % 5 == 0, "R").otherwise("L").alias("filter"),
+        F.when(F.col("event_type") == "signup", 0.0).when((F.col("event_type") == "error") & (u % 2 == 0), 300.0).otherwise(60.0 * (1 + u % 3)).alias("exposure"), F.when(u % 10 != 9, 50.0 * (u % 4)).alias("gain"), F.when(u % 7 == 6, 20.0).otherwise(10.0).alias("offset"),
+        F.when(u % 9 != 8, -10.0 + 5 * (u % 3)).alias("set_temp"), F.when(u % 6 == 5, 2).otherwise(1).alias("bin_x"),
+        F.when(u % 8 != 3, (u * 37 % 24) * 15.0 + F.when(F.col("event_type") == "purchase", u % 3).otherwise(0)).alias("rotator"),
     )
 
 
@@ -44,13 +49,7 @@ def calibration_set_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("kind", "exposure", "gain", "set_temp", "frames", F.col("first_night").cast("string").alias("first_night"), F.col("night").cast("string").alias("night"))
 
 
-@query(_FRAMES + """
-, p AS (SELECT l.*, s.frames, s.exposure AS dark_exposure, s.night AS dark_night, coalesce(abs(l.set_temp-s.set_temp),10) AS off, abs(l.exposure-s.exposure)<=0.01*l.exposure AS same,
-  abs(l.exposure-s.exposure)<=0.01*l.exposure AND coalesce(abs(l.set_temp-s.set_temp),10)<=1 AND l.set_temp IS NOT NULL AND s.set_temp IS NOT NULL AS exact
-  FROM lights l JOIN sets s ON s.kind='DARK' AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x WHERE s.frames>=3 AND coalesce(abs(l.set_temp-s.set_temp),10)<=10),
-r AS (SELECT *, row_number() OVER (PARTITION BY object, night, exposure, gain, set_temp ORDER BY NOT (frames>=20 AND exact), off, NOT same, dark_exposure DESC, abs(night-dark_night)) AS k FROM p)
-SELECT l.object, cast(l.night AS VARCHAR) AS night, l.exposure, l.gain, l.set_temp, l.lights, CASE WHEN r.k IS NULL THEN 'missing' WHEN r.exact THEN 'exact' ELSE 'fallback' END AS grade
-FROM lights l LEFT JOIN r ON r.k=1 AND l.object=r.object AND l.night=r.night AND l.exposure=r.exposure AND l.gain IS NOT DISTINCT FROM r.gain AND l.set_temp IS NOT DISTINCT FROM r.set_temp""")
+@query(_FRAMES + """SELECT object, cast(night AS VARCHAR) AS night, exposure, gain, set_temp, lights, CASE WHEN d.gid IS NULL THEN 'missing' WHEN d.exact THEN 'exact' ELSE 'fallback' END AS grade FROM lights LEFT JOIN darks d USING (gid)""")
 def dark_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a dark fits each group of lights."""
     f = frames(spark, sf_dir)
@@ -67,21 +66,18 @@ def dark_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHOSEN = _FRAMES + """
-, g AS (SELECT *, row_number() OVER (ORDER BY object, night, exposure, gain, set_temp) AS gid FROM lights),
-biases AS (SELECT gid, arg_min(frames, (abs(s.night-l.night), l.night-s.night, -frames)) AS have FROM g l JOIN sets s ON s.kind='BIAS' AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x GROUP BY 1)
+, biases AS (SELECT gid, arg_min(s, (abs(s.night-l.night), l.night-s.night, -s.frames, -s.until)) AS b, min(abs(s.night-l.night)) = 0 AS exact FROM lights l JOIN sets s ON s.kind='BIAS' AND s.frames>=3 AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x GROUP BY 1)
 """
 
 
 @query(_CHOSEN + """
-, dp AS (SELECT gid, s.frames, s.exposure AS dark_exposure, abs(l.night-s.night) AS nights, coalesce(abs(l.set_temp-s.set_temp),10) AS off, abs(l.exposure-s.exposure)<=0.01*l.exposure AS same,
-  abs(l.exposure-s.exposure)<=0.01*l.exposure AND coalesce(abs(l.set_temp-s.set_temp)<=1, false) AS exact
-  FROM g l JOIN sets s ON s.kind='DARK' AND l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AND l.bin_x=s.bin_x WHERE s.frames>=3 AND coalesce(abs(l.set_temp-s.set_temp),10)<=10),
-darks AS (SELECT gid, arg_min(exact, (NOT (frames>=20 AND exact), off, NOT same, -dark_exposure, nights)) AS exact FROM dp GROUP BY 1),
-fs AS (SELECT DISTINCT gain, "offset", night, bin_x FROM frames WHERE kind='FLAT'),
-flats AS (SELECT gid, arg_min(s.night=l.night, (NOT (l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset"), abs(s.night-l.night), l.night-s.night)) AS exact FROM g l JOIN fs s USING (bin_x) GROUP BY 1)
+, fs AS (SELECT filter, gain, "offset", night, bin_x, round(rotator) AS rotator FROM frames WHERE kind='FLAT' GROUP BY filter, gain, "offset", night, bin_x, object, exposure, set_temp, round(rotator) HAVING count(*)>=3),
+fp AS (SELECT gid, s.night - l.night AS nights, l.rotator IS NULL OR s.rotator IS NULL OR least(abs(l.rotator-s.rotator)%360, 360-abs(l.rotator-s.rotator)%360)<=1.5 AS fits, least(abs(l.rotator-s.rotator)%360, 360-abs(l.rotator-s.rotator)%360) AS angle,
+  l.gain IS NOT DISTINCT FROM s.gain AND l."offset"=s."offset" AS same FROM lights l JOIN fs s USING (filter, bin_x)),
+flats AS (SELECT gid, arg_min(fits AND same AND nights=0, (NOT fits, CASE WHEN fits THEN 0 ELSE angle END, NOT same, abs(nights), -nights)) AS exact FROM fp GROUP BY 1)
 SELECT object, cast(night AS VARCHAR) AS night, exposure, gain, set_temp, lights, CASE WHEN d.gid IS NULL THEN 'missing' WHEN d.exact THEN 'exact' ELSE 'fallback' END AS dark_grade,
- CASE WHEN f.gid IS NULL THEN 'missing' WHEN f.exact THEN 'exact' ELSE 'fallback' END AS flat_grade, CASE WHEN b.gid IS NULL THEN 'missing' WHEN b.have>=3 THEN 'exact' ELSE 'fallback' END AS bias_grade
-FROM g LEFT JOIN darks d ON d.gid=g.gid LEFT JOIN flats f ON f.gid=g.gid LEFT JOIN biases b ON b.gid=g.gid""")
+ CASE WHEN f.gid IS NULL THEN 'missing' WHEN f.exact THEN 'exact' ELSE 'fallback' END AS flat_grade, CASE WHEN b.gid IS NULL THEN 'missing' WHEN b.exact THEN 'exact' ELSE 'fallback' END AS bias_grade
+FROM lights g LEFT JOIN darks d ON d.gid=g.gid LEFT JOIN flats f ON f.gid=g.gid LEFT JOIN biases b ON b.gid=g.gid""")
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dark, flat and bias of every group of lights."""
     c = calibration.coverage(frames(spark, sf_dir))
@@ -89,8 +85,10 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_CHOSEN + """
-, per AS (SELECT gain, "offset", bin_x, sum(CASE WHEN have IS NULL THEN lights ELSE 0 END)::BIGINT AS missing, sum(CASE WHEN have<20 THEN lights ELSE 0 END)::BIGINT AS thin, max(night) AS latest FROM g LEFT JOIN biases USING (gid) GROUP BY 1,2,3)
-SELECT gain, missing, thin, row_number() OVER (ORDER BY missing DESC, thin DESC, latest DESC, gain NULLS FIRST, "offset", bin_x) AS priority FROM per WHERE missing>0 OR thin>0""")
+, last AS (SELECT gain, "offset", bin_x, max(until) AS full_until FROM sets WHERE kind='BIAS' AND frames>=30 GROUP BY ALL),
+w AS (SELECT l.gain, l."offset", l.bin_x, night, lights, b.gid IS NULL AS missing, b.gid IS NOT NULL AND b.b.frames<30 AND NOT coalesce(full_until > b.b.until, false) AS thin FROM lights l LEFT JOIN biases b USING (gid) LEFT JOIN last USING (gain, "offset", bin_x) WHERE l.gain IS NOT NULL),
+per AS (SELECT gain, "offset", bin_x, sum(CASE WHEN missing THEN lights ELSE 0 END)::BIGINT AS missing, sum(CASE WHEN thin THEN lights ELSE 0 END)::BIGINT AS thin, max(CASE WHEN missing OR thin THEN night END) AS latest FROM w GROUP BY 1,2,3)
+SELECT gain, missing, thin, row_number() OVER (ORDER BY missing DESC, thin DESC, latest DESC, gain, "offset", bin_x) AS priority FROM per WHERE missing>0 OR thin>0""")
 def bias_backlog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camera setups in want of biases."""
     return calibration.bias_backlog(frames(spark, sf_dir)).select("gain", "missing", "thin", "priority")

@@ -44,7 +44,7 @@ def test_coverage(spark):
     by = {s["set_id"]: s for s in sets}
     assert by[rows["A"]["dark"]]["night"] == D(2026, 1, 3)
     assert by[rows["A"]["flat"]]["night"] == D(2026, 1, 5) and rows["A"]["flat_grade"] == "fallback"  # a tie goes to the later night
-    assert rows["B"]["bias_grade"] == "missing" and rows["A"]["bias_grade"] == "exact"
+    assert rows["B"]["bias_grade"] == "missing" and rows["A"]["bias_grade"] == "fallback"  # exact on the lights' own night only
     gaps = calibration.dark_gaps(f).collect()
     assert [(g["exposure"], g["lights"]) for g in gaps] == [(300.0, 3)]
     todo = calibration.bias_backlog(f).collect()
