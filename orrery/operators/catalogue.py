@@ -16,7 +16,7 @@ def unbroken(deltas: DataFrame, since: DataFrame, hour: str = "hour") -> DataFra
     """
     hours = deltas.select(hour).distinct().crossJoin(F.broadcast(since.select(F.col(hour).alias("_since")))).filter(F.col(hour) > F.col("_since"))
     ranked = hours.withColumn("_n", F.row_number().over(Window.orderBy(hour))).filter(F.col(hour) == F.col("_since") + F.col("_n"))
-    return deltas.join(F.broadcast(ranked.select(hour)), hour, "left_semi")
+    return deltas.join(ranked.select(hour), hour, "left_semi")
 
 
 def apply_deltas(full: DataFrame, deltas: DataFrame, key: str, hour: str = "hour") -> DataFrame:
@@ -63,11 +63,12 @@ def moonfree_brightness(samples: DataFrame, preferred: list[str], *, least: int,
 
 
 def subsets(members: str, least: int, most: int) -> Column:
-    """All subsets of ``least`` to ``most`` members of an array, in its order; for arrays of at most 20."""
+    """All subsets of ``least`` to ``most`` members of an array, in its order; an array of over 20 is an error."""
     def chosen(mask: Column) -> Column:
         return F.filter(members, lambda _, i: F.getbit(mask, i) == 1)
 
-    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.size(members)).cast("int") - 1), lambda m: F.bit_count(m).between(least, most))
+    size = F.when(F.size(members) <= 20, F.size(members)).when(F.col(members).isNotNull(), F.raise_error(F.lit("subsets of over 20 members")).cast("int"))
+    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 1), lambda m: F.bit_count(m).between(least, most))
     return F.transform(masks, chosen)
 
 

@@ -52,6 +52,8 @@ def test_subsets(spark):
     got = spark.createDataFrame([(["a", "b", "c", "d"],), ([],), (None,)], "m array<string>").select(catalogue.subsets("m", 2, 3).alias("s")).collect()
     assert len(got[0].s) == len({tuple(x) for x in got[0].s}) == math.comb(4, 2) + math.comb(4, 3)
     assert got[1].s == [] and got[2].s is None
+    with pytest.raises(Exception, match="over 20 members"):
+        spark.createDataFrame([([str(i) for i in range(21)],)], "m array<string>").select(catalogue.subsets("m", 2, 3)).collect()
 
 
 def test_mirror_prunes_its_scope(spark, tmp_path):
