@@ -3,22 +3,22 @@
 Candidates meet by minimizer (see ``windows``), so that a task's shard holds
 all stretches that may share a window. The shard's words are numbered and
 indexed: suffix array, Burrows-Wheeler transform, and the transform as a
-wavelet matrix of packed bit vectors with block counts. A stretch that many
-documents share stands there once, with its number of copies, which are summed
-over a suffix range. The stretches are then streamed through backward search,
-many positions at once: the matching statistic of a position is the longest
-stretch ending there that occurs at least twice; where it reaches ``length``
-words, the window repeats. All that a statistic spans repeats with it, so that
-one at the end of a stretch of many copies settles the stretch; and a statistic
-grows by one at most from a position to the next, so that a short one rules out
-the next positions.
+wavelet matrix of packed bit vectors with block counts. Stretches that occur
+twice as a whole are settled by their counts before (see ``windows``), so a
+shard holds each stretch once; the index can also count copies, which the
+operator doesn't ask of it. The stretches are then streamed through backward
+search, many positions at once: the matching statistic of a position is the
+longest stretch ending there that occurs at least twice; where it reaches
+``length`` words, the window repeats. All that a statistic spans repeats with
+it, and a statistic grows by one at most from a position to the next, so that a
+short one rules out the next positions.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.
 
 Defined results: a null text has no words; windows never cross texts; repeated
 rows match each other; texts of fewer words than ``length`` stay whole (their
-words joined by one space); texts of any length a column holds are taken whole,
-each by one task; an empty table gives an empty result. Columns named n_words
+words joined by one space); a text is taken whole by one task, at some 80 bytes
+of memory a word; an empty table gives an empty result. Columns named n_words
 and removed are replaced, all others kept.
 """
 
