@@ -103,6 +103,13 @@ def tangent_plane(ra, dec, ra0, dec0) -> tuple[Column, Column]:
     return F.degrees(xi), F.degrees(eta)
 
 
+def off_tangent(ra0, dec0, xi, eta) -> tuple[Column, Column]:
+    """(ra, dec) of gnomonic coordinates (degrees) about a centre."""
+    x, y, d0 = F.radians(_c(xi)), F.radians(_c(eta)), F.radians(_c(dec0))
+    down = F.cos(d0) - y * F.sin(d0)
+    return F.pmod(_c(ra0) + F.degrees(F.atan2(x, down)), F.lit(360.0)), F.degrees(F.atan2(F.sin(d0) + y * F.cos(d0), F.sqrt(x * x + down * down)))
+
+
 def sky_to_pixel(ra, dec, ra0, dec0, crpix: tuple[float, float], cd: list[list[float]]) -> tuple[Column, Column]:
     """Pixel of a position under a gnomonic solution with a CD matrix."""
     xi, eta = tangent_plane(ra, dec, ra0, dec0)
@@ -111,6 +118,12 @@ def sky_to_pixel(ra, dec, ra0, dec0, crpix: tuple[float, float], cd: list[list[f
     return (d * xi - b * eta) / det + crpix[0], (a * eta - c * xi) / det + crpix[1]
 
 
+def pixel_to_sky(x, y, ra0, dec0, crpix: tuple[float, float], cd: list[list[float]]) -> tuple[Column, Column]:
+    """Position of a pixel under a gnomonic solution with a CD matrix."""
+    dx, dy = _c(x) - crpix[0], _c(y) - crpix[1]
+    return off_tangent(ra0, dec0, cd[0][0] * dx + cd[0][1] * dy, cd[1][0] * dx + cd[1][1] * dy)
+
+
 def days_2000(mjd) -> Column:
     return _c(mjd) - 51_544.5
 

@@ -14,7 +14,7 @@ from orrery.operators.images import weighted_update
 from orrery.operators.mirrors import Mirror
 from orrery.plans.registry import query
 from orrery.session import shared_dir, table
-from orrery.sources import tiles
+from orrery.sources import optional, tiles
 
 
 @query("""
@@ -360,3 +360,21 @@ def versioned_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     m.build(new, 2, limit=3)
     m.build(new, 2)
     return m.read(verify=True).groupBy("file").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("quantity"), F.sum("l_orderkey").alias("keys"), F.count_if(F.col("status") == "new").alias("fresh"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size * 60.0 - 1024 AS dx, (p_partkey % 997) * 2.0 - 768 AS dy, radians(30) AS a0, radians(20) AS d0 FROM part), t AS (SELECT p_partkey, a0, d0, radians(-0.0005*dx+0.0001*dy) AS x, radians(0.0002*dx+0.0006*dy) AS y FROM p)
+SELECT p_partkey, round(degrees(a0 + atan2(x, cos(d0)-y*sin(d0))), 8) AS ra, round(degrees(atan2(sin(d0)+y*cos(d0), sqrt(x*x+pow(cos(d0)-y*sin(d0), 2)))), 8) AS dec FROM t""")
+def sky_of_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of a plate as positions: the way back of ``pixel_positions``."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 60.0).alias("x"), ((F.col("p_partkey") % 997) * 2.0).alias("y"))
+    ra, dec = sky.pixel_to_sky("x", "y", 30.0, 20.0, (1024.0, 768.0), [[-0.0005, 0.0001], [0.0002, 0.0006]])
+    return p.select("p_partkey", F.round(ra, 8).alias("ra"), F.round(dec, 8).alias("dec"))
+
+
+@query("""SELECT s_suppkey, s_acctbal, NULL::VARCHAR AS s_note, s_acctbal AS balance FROM supplier""")
+def optional_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that the table lacks is null, and a table that isn't there overrides nothing."""
+    s = optional.optional_table(spark, f"{sf_dir}/supplier.parquet", {"s_suppkey": "long", "s_acctbal": "double", "s_note": "string"})
+    other = optional.optional_table(spark, f"{sf_dir}/overrides.parquet", {"s_suppkey": "long", "balance": "double"})
+    return s.join(other, "s_suppkey", "left").withColumn("balance", F.coalesce("balance", "s_acctbal"))
