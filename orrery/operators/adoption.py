@@ -28,8 +28,9 @@ def mosaic_proposals(targets: DataFrame, width: float, height: float) -> DataFra
     is no mosaic, with medium confidence; else a flagged project is one of low
     confidence (unnamed). Nothing is proposed for the others.
 
-    Panels meet by the cells of their outlines, targets by those of their place;
-    no project's targets are paired with one another.
+    Panels meet by their project and the cells of their outlines, targets by
+    project and the cells of their place: neither all targets of a project nor
+    those of different projects are paired with one another.
     """
     number = F.regexp_extract("name", PANEL, 2).try_cast("int")
     prefix = F.regexp_replace(F.trim(F.regexp_extract("name", PANEL, 1)), r"[ \-_:,]+$", "")
@@ -37,15 +38,13 @@ def mosaic_proposals(targets: DataFrame, width: float, height: float) -> DataFra
     # like names begin alike, or have their first word in common
     low = F.lower(F.trim("name"))
     spots = t.select("project", "flagged", "target", "ra", "dec", low.alias("name"))
-    others = spots.select(F.col("project").alias("project2"), F.col("target").alias("target2"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.col("name").alias("name2"))
-    near = cone_join(spots, others, SAME_FIELD).filter((F.col("project") == F.col("project2")) & (F.col("target") != F.col("target2")))
+    others = spots.select("project", F.col("target").alias("target2"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), F.col("name").alias("name2"))
+    near = cone_join(spots, others, SAME_FIELD, on=("project",)).filter(F.col("target") != F.col("target2"))
     alike = (F.col("name") != "") & (F.col("name2") != "") & (F.startswith("name", "name2") | F.startswith("name2", "name") | (F.split("name", r"\s+")[0] == F.split("name2", r"\s+")[0]))
     shared = near.filter(F.col("flagged") | alike).select("project", "target").distinct().groupBy("project").agg(F.count("*").alias("same_field"))
-    frames = t.filter("number is not null").select("target", footprint("ra", "dec", "rotation", width, height).alias("outline"))
-    owner = t.select("target", "project")
-    pairs = overlapping(frames, "target", least=NEIGHBOURS).select("a", "b")
-    pairs = pairs.join(owner.withColumnsRenamed({"target": "a", "project": "pa"}), "a").join(owner.withColumnsRenamed({"target": "b", "project": "pb"}), "b").filter("pa = pb")
-    met = pairs.select(F.col("pa").alias("project"), F.explode(F.array("a", "b")).alias("target")).distinct().groupBy("project").agg(F.count("*").alias("met"))
+    frames = t.filter("number is not null").select("project", "target", footprint("ra", "dec", "rotation", width, height).alias("outline"))
+    pairs = overlapping(frames, "target", least=NEIGHBOURS, within="project")
+    met = pairs.select("project", F.explode(F.array("a", "b")).alias("target")).distinct().groupBy("project").agg(F.count("*").alias("met"))
     per = t.groupBy("project").agg(
         F.count("*").alias("panels"),
         F.bool_or("flagged").alias("flagged"),

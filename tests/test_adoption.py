@@ -2,6 +2,7 @@
 
 import math
 
+from orrery.operators import adoption
 from orrery.operators.adoption import mosaic_proposals
 
 FIELDS = "project string, flagged boolean, target string, name string, ra double, dec double, rotation double, note string"
@@ -56,3 +57,13 @@ def test_proposals(spark):
         "Twice": ("mosaic", "Low", False, 2, ["unnamed"]),
     }
     assert mosaic_proposals(spark.createDataFrame([], FIELDS), W, H).count() == 0
+
+
+def test_projects_on_one_field_are_not_paired(spark, monkeypatch):
+    """Many projects on the same field: candidates grow with a project's targets, and no table of all targets is joined to pairs."""
+    found = []
+    monkeypatch.setattr(adoption, "overlapping", lambda *a, kept=adoption.overlapping, **k: found.append(kept(*a, **k)) or found[-1])
+    rows = [r for i in range(30) for r in grid(f"P{i}", named(f"P{i}", (1, 2)), 100.0, 20.0, 1, 2, 0.2)]
+    got = mosaic_proposals(spark.createDataFrame(rows, FIELDS), W, H).collect()
+    assert {tuple(r)[1:3] for r in got} == {("mosaic", "High")} and len(got) == 30
+    assert found[0].count() == 30
