@@ -22,7 +22,7 @@ def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size%3=0 THEN 'M '||p_size WHEN p_size%3=1 THEN 'NGC '||p_partkey ELSE NULL END AS designation FROM part""")
+SELECT p_partkey, CASE WHEN p_size%3=0 AND p_size BETWEEN 1 AND 110 THEN 'M '||p_size WHEN p_size%3=1 AND p_partkey BETWEEN 1 AND 9999 THEN 'NGC '||p_partkey ELSE NULL END AS designation FROM part""")
 def designations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical designations of names written in several ways."""
     written = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("messier 0"), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit(" ngc00"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))

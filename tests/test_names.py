@@ -3,8 +3,11 @@ import re
 
 import pytest
 
+import duckdb
+
 from orrery.functions import text
 from orrery.operators.names import name_search
+from orrery.plans import ORACLES, QUERIES
 
 
 def told(spark, column, values):
@@ -103,3 +106,12 @@ def test_ways(spark, asked, how):
     rows = name_search(spark.createDataFrame([(asked,)], "asked string"), df).collect()
     assert [(r["id"], r["how"]) for r in rows] == [("a", how)]
     assert name_search(spark.createDataFrame([(asked,)], "asked string"), df.limit(0)).count() == 0
+
+
+def test_designations_and_sql_end_with_the_catalogue(spark, tmp_path):
+    """Numbers beyond a catalogue's last one are no designations, here and in the SQL."""
+    rows = [(k, f"part {k}", size) for k, size in enumerate([1, 3, 4, 2, 111, 0])] + [(9999, "a", 1), (10000, "b", 1), (20000, "c", 3), (10001, None, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r[0]: r[1] for r in QUERIES["designations"](spark, str(tmp_path)).collect()}
+    assert got[9999] == "NGC 9999" and got[10000] is None and got[20000] == "M 3" and got[4] is None
+    assert got == dict(duckdb.sql(ORACLES["designations"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall())
