@@ -14,6 +14,7 @@ catalogue gives an empty result; a column called ``pixel`` is replaced.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,32 +31,47 @@ BASE_RING = [2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4]
 BASE_TURN = [1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7]
 
 
-def _spread(v: Column) -> Column:
-    """The bits of a number at the even places of another: its binary digits, read to base 4."""
-    return F.conv(F.bin(v.cast("long")), 4, 10).cast("long")
+#: The bits of a byte at the even places of a number: its binary digits, read to base 4.
+SPREAD = [int(f"{v:b}", 4) for v in range(256)]
+
+
+def _spread(v: Column, order: int) -> Column:
+    """The bits of a number at the even places of another, byte by byte."""
+    table = F.array(*map(F.lit, SPREAD))  # folded into a constant by the optimizer
+    parts = (F.shiftleft(table[F.shiftright(v, at).bitwiseAND(F.lit(255)).cast("int")].cast("long"), 2 * at) for at in range(0, max(order, 1), 8))
+    return functools.reduce(lambda a, b: a + b, parts)
 
 
 def sky_pixel(ra, dec, order: int = ORDER) -> Column:
-    """Nested pixel of a position (degrees) at an order up to 29."""
+    """Nested pixel of a position (degrees) at an order up to 29.
+
+    Cases are sums of products instead of branches: what stands in a branch is
+    worked out anew wherever it is used, all else once a row.
+    """
     side = 1 << order
     ra, dec = finite(_c(ra)), finite(_c(dec))
     z = F.sin(F.radians(dec))
     turn = F.pmod(ra, F.lit(360.0)) / 90  # quarters
+
+    def either(case: Column, a: Column, b: Column) -> Column:
+        case = case.cast("long")
+        return case * a + (1 - case) * b
+
     # between the polar caps: numbers of the ascending and descending edge lines
     down, up = (F.floor(side * (0.5 + turn - 0.75 * z)), F.floor(side * (0.5 + turn + 0.75 * z)))
     face_down, face_up = F.shiftright(down, order), F.shiftright(up, order)
-    belt_face = F.when(face_down == face_up, F.pmod(face_down, F.lit(4)) + 4).when(face_down < face_up, face_down).otherwise(face_up + 8)
+    belt_face = either(face_down == face_up, F.pmod(face_down, F.lit(4)) + 4, either(face_down < face_up, face_down, face_up + 8))
     belt_x, belt_y = up.bitwiseAND(F.lit(side - 1)), side - 1 - down.bitwiseAND(F.lit(side - 1))
     # in a polar cap: distance from the pole in rings, shared out over the quarter
     quarter = F.least(F.floor(turn), F.lit(3))
     rest = turn - quarter
     rings = side * F.cos(F.radians(dec)) * F.sqrt(3 / (1 + F.abs(z)))
     a, b = (F.least(F.floor(part * rings), F.lit(side - 1)) for part in (rest, 1 - rest))
-    face = F.when(F.abs(z) <= 2 / 3, belt_face).when(z > 0, quarter).otherwise(quarter + 8)
-    x = F.when(F.abs(z) <= 2 / 3, belt_x).when(z > 0, side - 1 - b).otherwise(a)
-    y = F.when(F.abs(z) <= 2 / 3, belt_y).when(z > 0, side - 1 - a).otherwise(b)
-    pixel = F.shiftleft(face.cast("long"), 2 * order) + _spread(x) + F.shiftleft(_spread(y), 1)
-    return F.when(z.isNotNull() & turn.isNotNull(), pixel)
+    belt, north = F.abs(z) <= 2 / 3, z > 0
+    face = either(belt, belt_face, either(north, quarter, quarter + 8))
+    x = either(belt, belt_x, either(north, side - 1 - b, a))
+    y = either(belt, belt_y, either(north, side - 1 - a, b))
+    return F.shiftleft(face, 2 * order) + _spread(x, order) + F.shiftleft(_spread(y, order), 1)
 
 
 def pixel_centre(order: int, pixel: int) -> tuple[float, float]:

@@ -98,3 +98,9 @@ def test_empty_catalogue(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     write_by_pixel(spark.createDataFrame([], FIELDS), path)
     assert read_cone(spark, path, (1.0, 2.0), 3.0).count() == 0
+
+
+def test_pixels_are_worked_out_without_branches_or_texts(spark):
+    """What stands in a branch is worked out anew wherever it is used."""
+    plan = spark.range(3).select(sky_pixel(F.col("id") * 1.5, F.col("id") * 2.0).alias("pixel"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and plan.count("CASE WHEN") <= plan.count("isnan(")
