@@ -30,6 +30,7 @@ from orrery.operators.skyindex import cone_cover, in_ranges, sky_pixel
 BLOCK = 65_536
 #: Of tiles: 0.9 degrees.
 ORDER = 6
+_CODEC = pa.Codec("zstd")
 _HEADER = "tile long, epochs int, first_object long, last_object long, first_time double, last_time double, columns array<binary>"
 
 
@@ -41,18 +42,17 @@ def good_epoch(flags: str | None, magnitude: str, error: str) -> Column:
 
 def packed(column: pa.Array) -> bytes:
     """Eight-byte values as differences of their bits, byte by byte in planes, compressed; and where the nulls are."""
-    bits = column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-    steps = np.diff(bits, prepend=np.uint64(0))
-    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
     nulls = np.packbits(column.is_null().to_numpy(zero_copy_only=False)).tobytes() if column.null_count else b""
-    codec = pa.Codec("zstd")
-    body = codec.compress(planes, asbytes=True)
-    return struct.pack("<II", len(bits), len(nulls)) + nulls + body
+    bits = (column.fill_null(0) if nulls else column).to_numpy().view(np.uint64)
+    steps = bits.copy()
+    steps[1:] -= bits[:-1]
+    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return struct.pack("<II", len(bits), len(nulls)) + nulls + _CODEC.compress(planes, asbytes=True)
 
 
 def unpacked(raw: bytes, kind: pa.DataType) -> pa.Array:
     n, size = struct.unpack_from("<II", raw)
-    planes = pa.Codec("zstd").decompress(raw[8 + size :], 8 * n, asbytes=True)
+    planes = _CODEC.decompress(raw[8 + size :], 8 * n, asbytes=True)
     bits = np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
     values = bits.view(np.int64 if pa.types.is_integer(kind) else np.float64)
     mask = np.unpackbits(np.frombuffer(raw[8 : 8 + size], np.uint8))[:n].astype(bool) if size else None
@@ -69,19 +69,22 @@ def write_tiles(epochs: DataFrame, path: str, columns: list[str], *, ra: str = "
         if kinds[c] not in ("bigint", "double"):
             raise ValueError(f"{c}: {kinds[c]}; blocks hold bigint and double")
     kept = epochs.filter(good) if good is not None else epochs
-    rows = kept.select(sky_pixel(ra, dec, order).alias("tile"), F.col(object_col).cast("long").alias("object"), F.col(time_col).cast("double").alias("time"), *columns).dropna(subset=["tile", "object", "time"])
+    # the place is tested, not the tile: a filter on it would work it out without sharing its parts
+    kept = kept.filter(finite(ra).isNotNull() & finite(dec).isNotNull())
+    rows = kept.select(sky_pixel(ra, dec, order).alias("tile"), F.col(object_col).cast("long").alias("object"), F.col(time_col).cast("double").alias("time"), *columns).dropna(subset=["object", "time"])
     keys = ["tile", "object", "time"]
     dealt = (rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
 
-        def closed(part: pa.Table) -> pa.RecordBatch:
-            cols = [c.combine_chunks() for c in part.columns]
-            tile, obj, time = cols[:3]
-            values = [[tile[0].as_py()], [len(part)], [obj[0].as_py()], [obj[-1].as_py()], [time[0].as_py()], [time[-1].as_py()], [[packed(c) for c in cols[1:]]]]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["tile", "epochs", "first_object", "last_object", "first_time", "last_time", "columns"])
+        def closed(rows: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+            """The blocks between the rows given, as one batch."""
+            cols = [c.combine_chunks() for c in rows.columns]
+            tile, obj, time = (c.to_numpy() for c in cols[:3])
+            raws = [[packed(c.slice(a, b - a)) for c in cols[1:]] for a, b in zip(starts.tolist(), ends.tolist())]
+            values = [tile[starts], (ends - starts).astype(np.int32), obj[starts], obj[ends - 1], time[starts], time[ends - 1]]
+            return pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array(raws, pa.list_(pa.binary()))], ["tile", "epochs", "first_object", "last_object", "first_time", "last_time", "columns"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -90,16 +93,15 @@ def write_tiles(epochs: DataFrame, path: str, columns: list[str], *, ra: str = "
             waiting = pa.concat_tables([waiting, table]) if waiting is not None else table
             tiles = waiting.column(0).to_numpy()
             edges = np.r_[0, np.flatnonzero(tiles[1:] != tiles[:-1]) + 1, len(tiles)]
-            lo = 0
-            for a, b in zip(edges, edges[1:]):
-                for start in range(a, b, block):
-                    end = min(start + block, b)
-                    if end - start == block or b < len(tiles):  # the last tile may go on
-                        yield closed(waiting.slice(start, end - start))
-                        lo = end
-            waiting = waiting.slice(lo) if lo < len(tiles) else None
+            starts = np.concatenate([np.arange(a, b, block) for a, b in zip(edges, edges[1:])])
+            ends = np.r_[starts[1:], len(tiles)]
+            if ends[-1] - starts[-1] < block:  # the last tile may go on
+                starts, ends = starts[:-1], ends[:-1]
+            if len(starts):
+                yield closed(waiting, starts, ends)
+                waiting = waiting.slice(ends[-1]) if ends[-1] < len(tiles) else None
         if waiting is not None:
-            yield closed(waiting)
+            yield closed(waiting, np.array([0]), np.array([len(waiting)]))
 
     dealt.mapInArrow(blocks, _HEADER).write.mode("overwrite").parquet(path)
 
@@ -116,8 +118,15 @@ def read_tiles(spark: SparkSession, path: str, columns: dict[str, str], *, tiles
 
     def epochs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts, held = [], 0
             for tile, n, raws in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tile)), *(unpacked(r, k) for r, k in zip(raws, kinds))], names)
+                parts.append(pa.RecordBatch.from_arrays([pa.array(np.full(n, tile)), *(unpacked(r, k) for r, k in zip(raws, kinds))], names))
+                held += n
+                if held >= BLOCK:
+                    yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                    parts, held = [], 0
+            if held:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     schema = ", ".join(["tile long", "object long", "time double", *(f"`{c}` {t}" for c, t in columns.items())])
     found = rows.select("tile", "epochs", "columns").mapInArrow(epochs, schema)
