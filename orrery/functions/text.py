@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,21 +66,35 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(both, F.size(F.array_union(a, b)))
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of x, which is worked out once a row, also in branches and filters."""
+    return F.element_at(F.transform(F.array(x), then), 1)
+
+
 def designation(x: Column) -> Column:
     """Canonical catalogue designation of a name, null if it isn't one."""
-    s = F.upper(F.trim(F.regexp_replace(F.regexp_replace(x, "[\u2010-\u2014\u2212_]", "-"), r"\s+", " ")))
     remnant = r"^(?:SNR\s*)?G\s*(\d{1,3}(?:\.\d+)?)\s*([+-])\s*(\d{1,2}(?:\.\d+)?)$"  # by galactic position
-    lon, lat = (F.regexp_extract(s, remnant, i).try_cast("double") for i in (1, 3))
-    at = F.when((lon < 360) & (lat <= 90), F.concat(F.lit("G"), F.lpad(F.format_string("%.1f", lon), 5, "0"), F.regexp_extract(s, remnant, 2), F.lpad(F.format_string("%.1f", lat), 4, "0")))
-    # the number of Sharpless' catalogue, 2, is part of its name
-    plain = F.regexp_replace(s, r"^(?:SH\s*2|SHARPLESS\s*2\s*-)\s*-?\s*(?=\d)", "SHARPLESS ")
     shape = r"^([A-Z][A-Z\s]*?)\s*-?\s*0*(\d+)\s*([A-Z])?$"
-    word, number, letter = F.regexp_replace(F.regexp_extract(plain, shape, 1), r"\s+", ""), F.regexp_extract(plain, shape, 2).try_cast("int"), F.regexp_extract(plain, shape, 3)
     listed = [(form, F.struct(F.lit(prefix), F.lit(last), F.lit(case))) for prefix, (forms, last, case) in CATALOGUES.items() for form in forms]
-    own = F.try_element_at(F.create_map(*(v for form, row in listed for v in (F.lit(form), row))), word)
-    prefix, last, case = (own[f"col{i}"] for i in (1, 2, 3))
-    suffix = F.when(case == "upper", letter).when(case == "lower", F.lower(letter)).when(letter == "", "")
-    return F.coalesce(at, F.when(number.between(1, last), F.concat(prefix, number.cast("string"), suffix)))
+    rows = F.create_map(*(v for form, row in listed for v in (F.lit(form), row)))
+
+    def placed(s: Column) -> Column:
+        lon, lat = (F.regexp_extract(s, remnant, i).try_cast("double") for i in (1, 3))
+        return F.when((lon < 360) & (lat <= 90), F.concat(F.lit("G"), F.lpad(F.format_string("%.1f", lon), 5, "0"), F.regexp_extract(s, remnant, 2), F.lpad(F.format_string("%.1f", lat), 4, "0")))
+
+    def numbered(p: Column) -> Column:
+        prefix, last, case = (p["own"][f"col{i}"] for i in (1, 2, 3))
+        suffix = F.when(case == "upper", p["letter"]).when(case == "lower", F.lower(p["letter"])).when(p["letter"] == "", "")
+        return F.when(p["number"].between(1, last), F.concat(prefix, p["number"].cast("string"), suffix))
+
+    def listed_at(plain: Column) -> Column:
+        word, number, letter = F.regexp_replace(F.regexp_extract(plain, shape, 1), r"\s+", ""), F.regexp_extract(plain, shape, 2).try_cast("int"), F.regexp_extract(plain, shape, 3)
+        return _once(F.struct(F.try_element_at(rows, word).alias("own"), number.alias("number"), letter.alias("letter")), numbered)
+
+    # the number of Sharpless' catalogue, 2, is part of its name
+    plain = lambda s: F.regexp_replace(s, r"^(?:SH\s*2|SHARPLESS\s*2\s*-)\s*-?\s*(?=\d)", "SHARPLESS ")
+    written = F.upper(F.trim(F.regexp_replace(F.regexp_replace(x, "[\u2010-\u2014\u2212_]", "-"), r"\s+", " ")))
+    return _once(written, lambda s: F.coalesce(F.when(s.rlike(remnant), placed(s)), _once(plain(s), listed_at)))
 
 
 def designation_key(x: Column) -> Column:
@@ -88,7 +104,7 @@ def designation_key(x: Column) -> Column:
 
 def looks_like_designation(x: Column) -> Column:
     trimmed = F.trim(x)
-    return designation(x).isNotNull() | ((F.octet_length(trimmed) <= 24) & trimmed.rlike(DESIGNATION_SHAPE))
+    return ((F.octet_length(trimmed) <= 24) & trimmed.rlike(DESIGNATION_SHAPE)) | designation(x).isNotNull()
 
 
 def base_name(path: Column) -> Column:

@@ -5,8 +5,10 @@ import pytest
 
 import duckdb
 
+from pyspark.sql import functions as F
+
 from orrery.functions import text
-from orrery.operators.names import name_search
+from orrery.operators.names import _leading, name_search
 from orrery.plans import ORACLES, QUERIES
 
 
@@ -115,3 +117,25 @@ def test_designations_and_sql_end_with_the_catalogue(spark, tmp_path):
     got = {r[0]: r[1] for r in QUERIES["designations"](spark, str(tmp_path)).collect()}
     assert got[9999] == "NGC 9999" and got[10000] is None and got[20000] == "M 3" and got[4] is None
     assert got == dict(duckdb.sql(ORACLES["designations"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall())
+
+
+def test_a_shared_name_brings_its_leading_objects_only(spark):
+    """3,000 objects of one name are compared once; those that sums of near ranks may let in stay, the rest can't be among the first."""
+    rows = [(i, [0.0, 0.1, 0.1 + 1e-16, 0.3, float("nan"), None][(i * 7) % 6 if i < 2990 else 3], "Garlic Nebula", f"NGC {i % 50}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, rank double, name string, designation string").withColumn("aliases", F.lit(None).cast("array<string>"))
+    known = [(i, 0.0 if r is None else r) for i, r, _, _ in rows if r is None or r == r]
+    hits = spark.createDataFrame([("garlic", "garlic nebula", 50.0, "prefix"), ("rlic", "garlic nebula", 35.0, "contains")], "asked string, n string, score double, how string")
+    held = spark.createDataFrame([(i, r, "garlic nebula") for i, r in known], "id long, rank double, n string")
+    led = _leading(held, "n", hits, 5).collect()
+    for asked, score in (("garlic", 50.0), ("rlic", 35.0)):
+        mine = sorted((-(r["score"] + r["rank"]), r["id"]) for r in led if r["asked"] == asked)
+        assert len(mine) <= 15 and mine[:5] == sorted((-(score + r), i) for i, r in known)[:5]
+    plain = df.filter("not isnan(rank) or rank is null")
+    got = {}
+    for r in name_search(spark.createDataFrame([("garlic",), ("rlic",), ("NGC 7",)], "asked string"), plain, limit=5).collect():
+        got.setdefault(r["asked"], []).append((r["place"], r["id"]))
+    best = [i for _, i in sorted((-r, i) for i, r in known)[:5]]
+    assert [i for _, i in sorted(got["garlic"])] == [i for _, i in sorted(got["rlic"])] == best
+    owners = [(i, r) for i, r in known if i % 50 == 7]
+    score = {i: (100 if i == owners[0][0] else 80) + r for i, r in owners}
+    assert [i for _, i in sorted(got["NGC 7"])] == sorted(score, key=lambda i: (-score[i], i))[:5]
