@@ -114,10 +114,7 @@ WITH p AS (SELECT vec_id, embedding[3]::DOUBLE AS x, embedding[4]::DOUBLE AS y F
 SELECT a, b, round(d,8) AS distance FROM (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), b.vec_id) rn FROM p a JOIN p b ON a.vec_id<>b.vec_id) WHERE rn=1 AND d<=0.02""")
 def nearest_in_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("a"), F.col("embedding")[2].cast("double").alias("x"), F.col("embedding")[3].cast("double").alias("y"))
-    other = p.select(F.col("a").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = matching.cell_join(p, other, 0.02).filter("a <> b")
-    best = near.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("n"))
-    return best.select("a", F.col("n.b").alias("b"), F.round("n.distance", 8).alias("distance"))
+    return matching.nearest_within(p, 0.02, id_col="a").select("a", F.col("other").alias("b"), F.round("distance", 8).alias("distance"))
 
 
 @query("""
