@@ -11,12 +11,16 @@ from orrery.operators.entity import connected_components
 from orrery.session import staged
 
 
-def before_in_buckets(df: DataFrame, keys: list[str], at: str, place: Column, width: float) -> DataFrame:
+def before_in_buckets(df: DataFrame, keys: list[str], at: str, place: Column, width: float, *, span: tuple[float, float] | None = None) -> DataFrame:
     """Each row with the ``place`` (a struct that begins with the time) of the row before it in its key, as ``before``.
 
     Windows span a bucket of time, and a bucket's first row takes the last place
-    of the buckets before, so a key of very many rows is spread over tasks.
+    of the buckets before, so a key of very many rows is spread over tasks. Where
+    ``span``, the first and last time of all rows, is given and no wider than a
+    bucket, there is nothing to take over.
     """
+    if span and span[1] - span[0] <= width:
+        return df.withColumn("_place", place).withColumn("before", F.lag("_place").over(Window.partitionBy(*keys).orderBy("_place"))).drop("_place")
     rows = df.withColumns({"_bucket": F.floor(F.col(at) / width), "_place": place})
     ends = rows.groupBy(*keys, "_bucket").agg(F.max("_place").alias("_last"))
     ends = ends.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
@@ -41,13 +45,18 @@ def set_runs(hits: DataFrame, keys: list[str], at: str, items: str, id_col: str,
 
     ``id_col`` is unique. Hits without a time or key, and without items, are runs
     of their own; null items join nothing. ``width`` is the span of time that
-    one task orders at a time.
+    one task orders at a time. The hits are worked out once; only what is paired
+    is followed up.
     """
+    hits = staged(hits, "hits")
+    width = width or 16 * gap
+    first, final = hits.dropna(subset=keys).agg(F.min(at), F.max(at)).first()
     seen = hits.dropna(subset=[*keys, at]).select(*keys, F.col(at).alias("_at"), F.col(id_col).alias("_id"), F.explode(F.array_distinct(items)).alias("_item")).dropna(subset=["_item"])
-    pairs = before_in_buckets(seen, [*keys, "_item"], "_at", F.struct("_at", "_id"), width or 16 * gap).dropna(subset=["before"])
-    pairs = staged(pairs.select(F.col("before._id").alias("a"), F.col("_id").alias("b"), (F.col("_at") - F.col("before._at")).alias("apart"), F.col("_at").alias("t")), "run-pairs")
+    pairs = before_in_buckets(seen, [*keys, "_item"], "_at", F.struct("_at", "_id"), width, span=None if first is None else (first, final)).dropna(subset=["before"])
+    pairs = staged(pairs.select(F.col("before._id").alias("a"), F.col("_id").alias("b"), (F.col("_at") - F.col("before._at")).alias("apart"), F.col("before._at").alias("s"), F.col("_at").alias("t")), "run-pairs")
     run_of = staged(connected_components(pairs.filter(F.col("apart") <= gap)).select(F.col("node").alias("_id"), F.col("component").alias("_run")), "runs")
-    own = hits.select(F.col(id_col).alias("_id"), F.col(at).alias("_at")).join(run_of, "_id", "left").withColumn("_run", F.coalesce("_run", "_id"))
+    # a hit without a pair is a run that nothing joins
+    own = pairs.select(F.col("a").alias("_id"), F.col("s").alias("_at")).unionByName(pairs.select(F.col("b").alias("_id"), F.col("t").alias("_at"))).distinct().join(run_of, "_id", "left").withColumn("_run", F.coalesce("_run", "_id"))
     last = staged(own.groupBy("_run").agg(F.max("_at").alias("last")), "run-ends")
 
     def renamed(df: DataFrame, column: str, new: DataFrame) -> DataFrame:

@@ -59,6 +59,16 @@ def test_before_across_buckets(spark):
     assert got == {0: None, 1: 0, 6: 1, 2: 6, 3: 2, 4: 3, 5: None}
 
 
+def test_before_in_one_bucket_needs_no_carrying(spark):
+    rows = [("k", 1), ("k", 2), ("k", 35), ("k", 95), ("k", 96), ("j", 50), ("k", 2)]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "key string, t long, i long")
+    both = []
+    for span in ((1, 96), (1, 102)):
+        found = before_in_buckets(df, ["key"], "t", F.struct("t", "i"), 100, span=span)
+        both.append((found._jdf.queryExecution().optimizedPlan().toString().count("Join"), {r["i"]: r["before"] and r["before"]["i"] for r in found.collect()}))
+    assert both == [(n, {0: None, 1: 0, 6: 1, 2: 6, 3: 2, 4: 3, 5: None}) for n in (0, 1)]
+
+
 def plain_peaks(peaks, apart):
     kept = []
     for t, v in sorted(peaks, key=lambda p: (-p[1], p[0])):
