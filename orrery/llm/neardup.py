@@ -26,6 +26,13 @@ all samples of a band meet in a bucket.
 Every link is verified: weighted Jaccard similarity of at least ``threshold``.
 The classes are the connected components of the links.
 
+The copies of a text count in the df of its shingles: the more there are, the
+less weighs what they share, and the more what one of them has changed, until
+they are no longer near one another. ``by_count`` therefore links the pairs,
+too, whose Jaccard similarity by counts alone reaches the threshold, which does
+not depend on the size of a group or of the table. Steps 2 to 4 run for both
+weightings, each with its own samples, buckets, pivots and blocks.
+
 Defined results: null and empty texts are one class of equal texts; texts of
 fewer than five words have one shingle, the whole text; very long texts are a
 shard of their own; repeated rows are in one class; null ids are allowed (a
@@ -172,10 +179,10 @@ def samples(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def band_keys(drawn: np.ndarray) -> np.ndarray:
-    """A 64-bit bucket per row and band."""
+def band_keys(drawn: np.ndarray, first: int = 1) -> np.ndarray:
+    """A 64-bit bucket per row and band; bands are numbered from ``first``."""
     bits = mix(drawn.view(np.uint32).astype(np.uint64)).reshape(len(drawn), BANDS, ROWS)
-    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(drawn), BANDS))
+    key = np.broadcast_to(mix(np.arange(first, first + BANDS, dtype=np.uint64)), (len(drawn), BANDS))
     for i in range(ROWS):
         key = mix(key ^ bits[:, :, i])
     return key.view(np.int64)
@@ -284,8 +291,12 @@ def unpack_found(raw: bytes, df: np.ndarray) -> None:
     df[several] = unpack(raw[4 + n :], "<u4")
 
 
-def _drawn(shards: DataFrame, answers: DataFrame, documents: int, bits: int, ranges: int, threshold: float, kind: str) -> DataFrame:
-    """Each shard's nodes: node, copies, least and, where another can be near, total, share (of private weight), sig, keys, ids and weights."""
+#: What a node has of a weighting: by count times inverse document frequency, and by count alone.
+VIEWS = (("total", "share", "sig", "keys", "weights"), ("count", "count_share", "count_sig", "count_keys", "counts"))
+
+
+def _drawn(shards: DataFrame, answers: DataFrame, documents: int, bits: int, ranges: int, threshold: float, kind: str, by_count: bool) -> DataFrame:
+    """Each shard's nodes: node, copies, least and, where another can be near, ids and (of each weighting, null for counts without ``by_count``) total, share (of private weight), sig, keys and weights."""
     shift = np.uint64(bits - (ranges - 1).bit_length()) if ranges > 1 else np.uint64(63)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,56 +308,63 @@ def _drawn(shards: DataFrame, answers: DataFrame, documents: int, bits: int, ran
                 for a in row["answers"] or []:
                     lo, hi = np.searchsorted(s.ids >> shift, (a["range"], a["range"] + 1))
                     unpack_found(a["found"], df[lo:hi])
-                weights = (s.counts * (1 + np.log((1 + documents) / (1 + df)))[s.place]).astype(np.float32)
                 shared = df[s.place] > 1
-                total = np.bincount(s.text, weights, n)
-                share = np.bincount(s.text, np.where(shared, 0, weights), n) / np.maximum(total, 1e-9)
-                open_ = np.flatnonzero((total > 0) & (share <= 1 - threshold + 1e-6))
-                sigs, keys, ids, held = ([None] * n for _ in range(4))
-                for at in range(0, len(open_), 512):
-                    own = open_[at : at + 512]
-                    cells = [slice(s.edges[i], s.edges[i + 1]) for i in own]
-                    drawn = samples([(s.ids[s.place[c]], weights[c]) for c in cells])
-                    short = (mix(drawn.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
-                    for i, c, sig, key in zip(own.tolist(), cells, short, band_keys(drawn)):
-                        some = shared[c]
-                        sigs[i], keys[i], ids[i], held[i] = sig.tobytes(), key, pack_sorted(s.ids[s.place[c]][some]), pack(weights[c][some])
-                near = np.isin(np.arange(n), open_)
-                cols = [pa.array(row["nodes"], pa.binary()), pa.array(row["copies"], pa.int64()), pa.array(row["least"], least.value_type)]
-                cols += [pa.array(np.where(near, x, 0), mask=~near) for x in (total, share)]
-                cols += [pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(ids, pa.binary()), pa.array(held, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["node", "copies", "least", "total", "share", "sig", "keys", "ids", "weights"])
+                ids, views = [None] * n, []
+                for view in range(len(VIEWS)):
+                    weights = s.counts.astype(np.float32) if view else (s.counts * (1 + np.log((1 + documents) / (1 + df)))[s.place]).astype(np.float32)
+                    total = np.bincount(s.text, weights, n)
+                    share = np.bincount(s.text, np.where(shared, 0, weights), n) / np.maximum(total, 1e-9)
+                    open_ = np.flatnonzero((total > 0) & (share <= 1 - threshold + 1e-6) & (by_count or not view))
+                    sigs, keys, held = ([None] * n for _ in range(3))
+                    for at in range(0, len(open_), 512):
+                        own = open_[at : at + 512]
+                        cells = [slice(s.edges[i], s.edges[i + 1]) for i in own]
+                        drawn = samples([(s.ids[s.place[c]], weights[c]) for c in cells])
+                        short = (mix(drawn.view(np.uint32).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+                        for i, c, sig, key in zip(own.tolist(), cells, short, band_keys(drawn, 1 + view * BANDS)):
+                            some = shared[c]
+                            sigs[i], keys[i], held[i] = sig.tobytes(), key, pack(weights[c][some])
+                            ids[i] = ids[i] or pack_sorted(s.ids[s.place[c]][some])
+                    near = np.isin(np.arange(n), open_)
+                    views += [pa.array(np.where(near, x, 0), mask=~near) for x in (total, share)]
+                    views += [pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(held, pa.binary())]
+                cols = [pa.array(row["nodes"], pa.binary()), pa.array(row["copies"], pa.int64()), pa.array(row["least"], least.value_type), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, *views], ["node", "copies", "least", "ids", *VIEWS[0], *VIEWS[1]])
 
     answered = answers.groupBy("shard").agg(F.collect_list(F.struct("range", "found")).alias("answers"))
     both = shards.select("shard", "nodes", "copies", "least", "sizes", "texts").join(answered, "shard", "left")
-    return both.mapInArrow(draw, f"node binary, copies long, least {kind}, total double, share double, sig binary, keys array<bigint>, ids binary, weights binary")
+    views = ", ".join(f"{name} {t}" for view in VIEWS for name, t in zip(view, ("double", "double", "binary", "array<bigint>", "binary")))
+    return both.mapInArrow(draw, f"node binary, copies long, least {kind}, ids binary, {views}")
 
 
-def weighted_nodes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weighted_nodes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
     """Staged ``_drawn`` of all documents."""
     kind = dict(docs.dtypes)[id_col]
     shards = staged(_shards(docs, id_col, text_col), "neardup-shards")
     size = shards.select(F.coalesce(F.sum("documents"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)).alias("bytes")).first()
     bits = min(64, SPARE + (size["bytes"] // 4).bit_length())
     ranges = 1 << (size["bytes"] // 4 // RANGE_SHINGLES).bit_length()
-    return staged(_drawn(shards, document_frequencies(shards, bits, ranges), size["n"], bits, ranges, threshold, kind), "neardup-drawn")
+    return staged(_drawn(shards, document_frequencies(shards, bits, ranges), size["n"], bits, ranges, threshold, kind, by_count), "neardup-drawn")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", near: float = 0.64) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", near: float = 0.64, by_count: bool = False) -> DataFrame:
     """One row per document: the id, class_id, class_size (documents), keep and node.
 
     keep is true for the class's row of the least id (and rows equal to it);
     node is the digest of the text.
     ``near``: the share of equal samples from which a pair is verified in the
-    last step (of pairs at 0.8, six in ten thousand have fewer).
+    last step (of pairs at 0.8, six in ten thousand have fewer). ``by_count``:
+    link pairs that reach the threshold by counts alone, too.
     """
-    drawn = weighted_nodes(docs, threshold, id_col=id_col, text_col=text_col)
-    open_ = drawn.filter("keys is not null")
-    members = open_.select(F.explode("keys").alias("key"), "node", "share")
+    drawn = weighted_nodes(docs, threshold, id_col=id_col, text_col=text_col, by_count=by_count)
+    open_ = drawn.filter("ids is not null")
+    members = open_.select(F.explode("keys").alias("key"), "node", "share", F.lit(0).alias("view"))
+    if by_count:
+        members = members.unionByName(open_.select(F.explode("count_keys").alias("key"), "node", F.col("count_share").alias("share"), F.lit(1).alias("view")))
     pivot = F.min(F.struct("share", "node"))
     buckets = staged(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), pivot.alias("p")).filter("a <> b").select("key", F.col("p.node").alias("pivot")), "neardup-buckets")
     members = staged(members.join(buckets, "key").distinct(), "neardup-members")
-    sets = staged(open_.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "total", "share", "sig", "ids", "weights"), "neardup-sets")
+    sets = staged(open_.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).drop("copies", "least", "keys", "count_keys"), "neardup-sets")
 
     pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = staged(_verified(pairs.distinct(), sets, threshold), "neardup-links")
@@ -387,24 +405,26 @@ def _outer_pairs(labelled: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold, in one weighting."""
+    values = [(whole, weights) for whole, _, _, _, weights in VIEWS]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, Weighted] = {}
+        known: dict[bytes, list[Weighted | None]] = {}
 
-        def set_of(x: dict) -> Weighted:
+        def sets_of(x: dict) -> list[Weighted | None]:
             if x["node"] not in known:
                 if len(known) > 64:
                     known.clear()
-                known[x["node"]] = unpack_sorted(x["ids"]), unpack(x["weights"], "<f4"), x["total"]
+                ids = unpack_sorted(x["ids"])
+                known[x["node"]] = [(ids, unpack(x[weights], "<f4"), x[whole]) if x[weights] is not None else None for whole, weights in values]
             return known[x["node"]]
 
         for batch in batches:
-            rows = [(x["node"], y["node"]) for x, y in zip(*(c.to_pylist() for c in batch.columns)) if similarity(set_of(x), set_of(y)) >= threshold]
+            rows = [(x["node"], y["node"]) for x, y in zip(*(c.to_pylist() for c in batch.columns)) if any(a and b and similarity(a, b) >= threshold for a, b in zip(sets_of(x), sets_of(y)))]
             cols = zip(*rows) if rows else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
 
-    own = F.struct("node", "total", "ids", "weights")
+    own = F.struct("node", "ids", *(name for pair in values for name in pair))
     one = pairs.join(sets.select(F.col("node").alias("b"), own.alias("y")), "b")
     both = one.join(sets.select(F.col("node").alias("a"), own.alias("x")), "a")
     return both.select("x", "y").mapInArrow(verify, "a binary, b binary")
@@ -504,14 +524,16 @@ def _verified_blocks(labelled: DataFrame, sets: DataFrame, threshold: float, nea
             cols = zip(*rows) if rows else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
 
-    labelled = staged(labelled.select("key", "node", "component"), "neardup-labelled")
+    labelled = staged(labelled.select("key", "node", "component", "view"), "neardup-labelled")
     counts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     tops = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
     seeking = F.col("component") != F.col("top.component")
     band = F.floor(F.log(F.greatest("total", F.lit(1e-9))) / float(-np.log(threshold - 1e-6))).cast("int")
     slots = F.ceil(F.when(seeking, F.col("size") - F.col("top.n")).otherwise(F.col("top.n")) / BLOCK).cast("int")
-    placed = labelled.join(tops, "key").select("key", "node", "component", seeking.alias("seeking"), F.pmod(F.xxhash64("node"), slots).cast("int").alias("slot"))
-    placed = placed.join(sets.withColumn("band", band), "node")
+    placed = labelled.join(tops, "key").select("key", "node", "component", "view", seeking.alias("seeking"), F.pmod(F.xxhash64("node"), slots).cast("int").alias("slot"))
+    # a bucket is of one weighting
+    of_view = [F.when(F.col("view") == 0, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(*VIEWS) if a != "keys"]
+    placed = placed.join(sets, "node").select("key", "node", "component", "seeking", "slot", "ids", *of_view).withColumn("band", band)
     own = F.struct("node", "component", "sig", "total", "share", "ids", "weights")
     blocks = staged(placed.groupBy("key", "seeking", "band", "slot").agg(F.collect_list(own).alias("held")), "neardup-blocks")
     name = F.struct("band", "slot")
@@ -524,11 +546,11 @@ def _verified_blocks(labelled: DataFrame, sets: DataFrame, threshold: float, nea
     return met.join(x, ["key", "a"]).join(y, ["key", "seeking", "b"]).select("x", "y").mapInArrow(verify, "a binary, b binary")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", by_count: bool = False) -> DataFrame:
     """The columns of ``docs``, one document of each class of near-duplicates."""
     free = [f"_own{i}" for i in range(len(docs.columns) + 2) if f"_own{i}" not in docs.columns][:2]
     name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))  # apart from an empty id
-    classes = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col)
+    classes = near_duplicates(docs, threshold, id_col=id_col, text_col=text_col, by_count=by_count)
     kept = staged(classes.filter("keep").select(name.alias(free[0]), F.col("node").alias(free[1])).distinct(), "neardup-kept")
     named = docs.withColumns({free[0]: name, free[1]: node_of(normal(F.col(text_col)))})
     return named.join(kept, free, "left_semi").dropDuplicates(free).drop(*free)

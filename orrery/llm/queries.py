@@ -57,7 +57,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orrery.llm.neardup import near_duplicates
 
-    done = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8)
+    done = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8, by_count=True)
     return done.select("doc_id", "class_id", "class_size", "keep")
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from orrery.llm import neardup
+from orrery.llm.queries import op5_neardup
 from orrery.llm.neardup import band_keys, keep_one, near_duplicates, samples, similarities, similarity, unpack, unpack_sorted, weighted_nodes
 
 
@@ -186,3 +187,41 @@ def test_every_candidate_pair_is_linked(spark):
                 met += 1
                 assert got[a] == got[b]
     assert met > 1000 and band_keys(np.zeros((1, 64), np.float32)).shape == (1, 16)
+
+
+def edited(rnd, size=60, others=340):
+    """A text, copies with five words changed, and texts that are unlike."""
+    base = [f"w{i}" for i in range(250)]
+    texts = [" ".join(base)]
+    for i in range(size):
+        words = list(base)
+        for at in range(5):
+            words[50 * at + rnd.randrange(5, 40)] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    return texts + [" ".join(f"o{i}x{k}" for k in range(20)) for i in range(others)]
+
+
+def test_a_large_group_of_copies_is_found_whole(spark, tmp_path, monkeypatch):
+    """What copies share weighs the less the more there are; by counts they stay near. Also where all are left to the blocks."""
+    texts = edited(random.Random(1))
+    sets = weights_of(texts)
+    assert max(jaccard(sets[0], s) for s in sets[1:61]) < 0.8 <= min(jaccard(grams(texts[0]), grams(t)) for t in texts[1:61])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [0] * 61 + list(range(61, len(texts)))
+    assert [r["class_id"] for r in op5_neardup(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, sets, threshold: verified(pairs.limit(0), sets, threshold))
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    assert [r["class_id"] for r in op5_neardup(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
+def test_classes_by_either_weighting_equal_brute_force(spark):
+    texts = corpus(random.Random(8))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    one, counts = brute_classes(texts)[0], [grams(t) for t in texts]
+    links = [(i, c) for i, c in enumerate(one)] + [(i, j) for i in range(len(texts)) for j in range(i) if counts[i] and counts[j] and jaccard(counts[i], counts[j]) >= 0.8]
+    want = list(range(len(texts)))
+    while (after := [min(want[j] for x in links if i in x for j in x) for i in range(len(texts))]) != want:
+        want = after
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, by_count=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want != one
